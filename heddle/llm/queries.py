@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import batch_rows, table
+from . import bpe, linededup, simhash, tokenfile
+from .common import batch_rows, scratch, table
 
 
 def tokenizer_path() -> str:
@@ -15,6 +15,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 500)
+    path = scratch(spark)
+    tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    batch_rows(spark, 4)  # of blocks
+    return tokenfile.read(spark, path, ids=False)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 500)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -27,5 +35,16 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_bpe": op3_bpe}
-ORACLES: dict[str, str] = {}
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 500)
+    out = simhash.components_of(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_tokenfile, op3_bpe, op8_linededup, op9_simhash)}
+ORACLES = {"op8_linededup": linededup.ORACLE}
