@@ -7,6 +7,7 @@ Special tokens written in a text are cut out first, as the tokenizers library do
 from __future__ import annotations
 
 import re
+from array import array
 
 import regex
 
@@ -25,35 +26,49 @@ def byte_letters() -> list[str]:
 
 
 class WordMemory(dict):
-    """word -> its ids as little-endian 32-bit bytes. encode: a pre-token in byte letters -> ids. Forgets all at limit words."""
+    """word -> its ids as little-endian 32-bit bytes. encode: a pre-token in byte letters -> ids.
 
-    def __init__(self, tokenizer, encode, limit: int = 300_000):
+    Holds the words of late: at limit words those so far become the older half, and the half before that is forgotten."""
+
+    def __init__(self, tokenizer, encode, limit: int = 200_000):
         super().__init__()
         self.normalize, self.cut, self.encode, self.limit = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str, encode, limit
+        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         self.letters = byte_letters()
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special = {k: int(v).to_bytes(4, "little") for k, v in special.items()}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
-    def piece(self, p: str, spelled: str | None = None) -> bytes:
-        if (got := self.pieces.get(p)) is None:
-            if spelled is None:
-                spelled = "".join([self.letters[b] for b in p.encode()])
-            got = b"".join([i.to_bytes(4, "little") for i in self.encode(spelled)])
-            if len(p) <= 40:
+    def spelled(self, s: str) -> bytes:
+        """Of a pre-token in byte letters."""
+        if (got := self.pieces.get(s)) is None:
+            if (got := self.old_pieces.get(s)) is None:
+                got = array("I", self.encode(s)).tobytes()
+            if len(s) <= 40:
                 if len(self.pieces) >= self.limit:
-                    self.pieces.clear()
-                self.pieces[p] = got
+                    self.old_pieces, self.pieces = self.pieces, {}
+                self.pieces[s] = got
         return got
 
     def __missing__(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
-            got = b"".join([self.piece(p) for p in PIECES.findall(word.lower())])
-        else:
-            got = b"".join([self.piece("\0" + s, s) for s, _ in self.cut(self.normalize(word))])
+        if (got := self.older.get(word)) is None:
+            low = word.lower()
+            if low.isascii():
+                if low.isalpha():
+                    got = self.spelled(low)
+                elif low[-1] in ".,!?;:" and low[:-1].isalpha():
+                    got = self.spelled(low[:-1]) + self.spelled(low[-1])
+            if got is None:
+                if PLAIN.fullmatch(word):
+                    letters = self.letters
+                    got = b"".join([self.spelled(p if p.isascii() else "".join([letters[b] for b in p.encode()])) for p in PIECES.findall(low)])
+                else:
+                    got = b"".join([self.spelled(s) for s, _ in self.cut(self.normalize(word))])
         if len(word) <= 40:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = got
         return got
