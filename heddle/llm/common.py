@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
@@ -74,3 +74,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return roots.unionByName(e.select(F.col("u").alias("node"), F.col("v").alias("component")))
+
+
+SALTS = 16
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value made once a row even where lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with few, a table with a few rows a key, whose keys may be hot in rows: the tasks that
+    read rows deal them to SALTS others.
+
+    Where few is below spark.sql.autoBroadcastJoinThreshold, Spark broadcasts it and shuffles nothing."""
+    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, simhash, tokenfile
+from . import bpe, linededup, quality, simhash, tokenfile
 from .common import batch_rows, scratch, table
 
 
@@ -35,6 +35,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
+
+
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
@@ -46,5 +51,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_tokenfile, op3_bpe, op8_linededup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op2_tokenfile, op3_bpe, op5_quality, op8_linededup, op9_simhash)}
 ORACLES = {"op8_linededup": linededup.ORACLE}
