@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, quality, simhash, tokenfile
+from . import bpe, linededup, mixing, quality, simhash, tokenfile
 from .common import batch_rows, scratch, table
 
 
@@ -15,6 +15,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+MIX = {"budget": 1.0, "max_epochs": 3, "seed": 7}
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents"), mixing.tree(), weights=mixing.WEIGHTS, **MIX)
+    return out.select("doc_id", *(F.col(f"_t_{c}").alias(c) for c in mixing.tree()), F.col("_epoch").alias("epoch"))
+
+
 def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 500)
     path = scratch(spark)
@@ -51,5 +59,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_tokenfile, op3_bpe, op5_quality, op8_linededup, op9_simhash)}
-ORACLES = {"op8_linededup": linededup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op5_quality, op8_linededup, op9_simhash)}
+ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op8_linededup": linededup.ORACLE}
