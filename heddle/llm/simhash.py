@@ -19,7 +19,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -158,3 +158,13 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     """(doc_id, fp, component_id) of every row of docs. A row without doc_id has the component of its fingerprint, if any."""
     fps = written(fingerprints(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"))
     return fps.join(linked(fps), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document of smallest doc_id of each component. Rows of equal doc_id are one document, of which one row stays (that
+    of least text hash); rows without doc_id are not compared and stay."""
+    kept = components_of(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
+    own = docs.filter(F.col(doc_id).isNotNull()).withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
+    own = own.join(kept, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi")
+    return own.unionByName(docs.filter(F.col(doc_id).isNull()))
