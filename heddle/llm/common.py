@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as texts may be very long."""
+    """Bounds the rows of an Arrow batch, as texts may be very long; Python workers find this package where the driver does."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, neardup, quality, simhash, tokenfile
+from . import bpe, linededup, lm, mixing, neardup, quality, simhash, tokenfile
 from .common import batch_rows, scratch, table
 
 
@@ -48,6 +48,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 2000)
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 2000)
     return neardup.linked(table(spark, sf_dir, "embeddings"))
@@ -64,5 +69,5 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op5_quality, op7_neardup, op8_linededup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash)}
 ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op8_linededup": linededup.ORACLE}
