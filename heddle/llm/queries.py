@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, lm, mixing, neardup, quality, simhash, tokenfile
+from . import bpe, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
 from .common import batch_rows, scratch, table
 
 
@@ -69,5 +69,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash)}
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(secrets.made_findings(spark)), path="source")
+    return out.select("doc_id", "start", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "probability", "is_secret")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets)}
 ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op8_linededup": linededup.ORACLE}

@@ -1,0 +1,68 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from heddle.llm import secrets as S
+
+SCHEMA = "doc_id long, text string, source string, start int"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return S.trained(S.made_findings(spark))
+
+
+def brute(text):
+    """Offsets and strings of the candidates, found token by token."""
+    spans = {}
+    names = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)[\"']?[ ]{0,2}[=:][ ]{0,2}[\"']?", re.I)
+    claims = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", text)]
+    for m in names.finditer(text):
+        v = re.compile(r"[^\s\"'=:,;]{6,}").match(text, m.end())
+        claims += [(v.start(), v.end())] if v else []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) >= 16 and re.search("[0-9]", m[0]):
+            claims.append(m.span())
+    at = 0
+    for a, b in sorted(claims, key=lambda x: x[0]):
+        if a >= at:
+            spans[a] = text[a:b]
+            at = b
+    return spans
+
+
+def test_candidates_against_brute_force(spark):
+    r = random.Random(4)
+    parts = ["the", "résumé", "token = \"a1b2c3d4e5f6a7b8c9d0\"", "password: hunter2x", "plainlongwordwithoutdigits", "0123456789abcdef0123", "-----BEGIN RSA PRIVATE KEY-----", "x9" * 30, "secret=", "pwd='s3cr3t!!'", "4785380592391139", "\n", "日本語"]
+    rows = [(i, " ".join(r.choices(parts, k=r.randint(1, 12))), None, i) for i in range(300)] + [(None, None, None, 0), (900, "", "a", 0), (901, "a1" * 50_000, "a", 0)]
+    got = {}
+    for x in S.candidates(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(x.doc_id, {})[x.start] = x.candidate
+    assert got == {i: b for i, t, *_ in rows if (b := brute(t or ""))}
+
+
+def test_held_out_findings(spark, model):
+    rows, names = S.features(S.made_findings(spark, 1500, seed=99))
+    from pyspark.ml.feature import VectorAssembler
+
+    said = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows)).select("label", "prediction").collect()
+    assert sum(x.label == x.prediction for x in said) / len(said) > 0.95
+
+
+def test_planted(spark, model):
+    rows = [
+        (1, 'of the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and more', "src1", 1), (2, "pay 4785380592391139 now", "src1", 1),
+        (3, "commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff of the tree", "src1", 1), (4, 'api_key = "your_api_key_here"', "src1", 1),
+        (5, "x " * 30_000 + 'token = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2"', "src1", 1), (6, None, None, None),
+    ]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = S.scan(docs, model, path="source")
+    assert {x.doc_id for x in out.collect() if x.is_secret} == {1, 5}
+    clean = {x.doc_id: x.text for x in S.redacted(docs, out.filter("is_secret")).collect()}
+    assert clean[1] == 'of the token = "[SECRET]" and more' and clean[4] == rows[3][1] and clean[6] is None and clean[5].endswith('"[SECRET]"')
+
+
+def test_empty_table(spark, model):
+    assert S.scan(spark.createDataFrame([], SCHEMA).withColumn("candidate", F.lit("x")), model).count() == 0
