@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
+from . import bpe, licenses, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
 from .common import batch_rows, scratch, table
 
 
@@ -43,6 +43,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    batch_rows(spark, 1000)
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
@@ -74,5 +79,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "probability", "is_secret")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op4_licenses, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets)}
 ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op8_linededup": linededup.ORACLE}
