@@ -12,7 +12,7 @@ HEADER = r"(?m)(?=^[0-9a-f]{40,64} [0-9]+ [0-9]+)"
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """(path, porcelain) of a folder with one blame output a file, named by the path."""
-    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.regexp_replace("_metadata.file_path", "^.*/", "").alias("path"), F.col("value").alias("porcelain"))
+    return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.url_decode("_metadata.file_name").alias("path"), F.col("value").alias("porcelain"))
 
 
 def parse(texts: DataFrame) -> DataFrame:
