@@ -48,21 +48,21 @@ def loose_clusters(authors: DataFrame, each: int = ROUND) -> DataFrame:
 
     Each round folds the first `each` undecided authors into seeds and lets these claim what is like them among all others,
     so that no task holds more than that many authors and the result is that of going through them one by one."""
-    spark, rest, parts = authors.sparkSession, _stored(prepared(authors)), []
+    spark, rest, parts = authors.sparkSession, stored(prepared(authors)), []
     while not rest.isEmpty():
         head = rest.orderBy("id").limit(each).agg(F.array_sort(F.collect_list("key")).alias("head"))
         fold = F.aggregate("head", F.filter("head", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda s: authors_similar(s, x)), acc).otherwise(F.concat(acc, F.array(x))))
-        seeds = _stored(head.select(fold.alias("seeds")))
+        seeds = stored(head.select(fold.alias("seeds")))
         tried = rest.crossJoin(F.broadcast(seeds))  # one row of at most `each` seeds
         first = F.get(F.filter("seeds", lambda s: (s["id"] <= F.col("id")) & authors_similar(s, F.col("key"))), 0)["id"]
-        tried = _stored(tried.select("id", "key", F.coalesce(F.when(F.exists("seeds", lambda s: s["id"] == F.col("id")), F.col("id")), first).alias("seed")))
+        tried = stored(tried.select("id", "key", F.coalesce(F.when(F.exists("seeds", lambda s: s["id"] == F.col("id")), F.col("id")), first).alias("seed")))
         parts.append(tried.filter("seed is not null").select("id", "seed"))
         rest = tried.filter("seed is null").select("id", "key")
     none = spark.createDataFrame([], "id long, seed long")
     return reduce(DataFrame.unionByName, parts, none)
 
 
-def _stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """df written to the folder that executors share; a local one where none is set."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heddle-")
@@ -72,20 +72,23 @@ def _stored(df: DataFrame) -> DataFrame:
 
 
 def strict_clusters(authors: DataFrame) -> DataFrame:
-    """(id, seed): authors of the same e-mail, blanks around it and case aside."""
-    seed = F.min("id").over(Window.partitionBy(F.lower(S.trimmed(F.col("email")))))
-    return authors.select("id", seed.alias("seed"))
+    """authors with seed: the first of the same e-mail, blanks around it and case aside."""
+    return authors.withColumn("seed", F.min("id").over(Window.partitionBy(F.lower(S.trimmed(F.col("email"))))))
 
 
 def normalize(authors: DataFrame, policy: str = "loose") -> DataFrame:
     """authors with canonical_id and is_canonical. Of a cluster's readable members the longest display name is canonical, the
     first among equals; where none is readable, the first member."""
-    clusters = {"loose": loose_clusters, "strict": strict_clusters}[policy](authors)
+    both = {"loose": lambda a: a.join(loose_clusters(a), "id"), "strict": strict_clusters}[policy](authors)
     readable = ~S.has_artifacts(F.col("name")) & ~S.has_artifacts(F.col("display_name"))
     worth = F.struct(readable, F.when(readable, F.length("display_name")).otherwise(0), -F.col("id"))
-    both = authors.join(clusters, "id")
-    best = both.groupBy("seed").agg(F.max_by("id", worth).alias("canonical_id"))
-    return both.join(best, "seed").drop("seed").withColumn("is_canonical", F.col("canonical_id") == F.col("id"))
+    both = both.withColumn("canonical_id", F.max_by("id", worth).over(Window.partitionBy("seed"))).drop("seed")
+    return both.withColumn("is_canonical", F.col("canonical_id") == F.col("id"))
+
+
+def attributed(lines: DataFrame, authors: DataFrame) -> DataFrame:
+    """lines (email, ..) with author_id, the canonical author of each."""
+    return lines.join(authors.select("email", F.col("canonical_id").alias("author_id")), "email")
 
 
 def repointed(blame: DataFrame, authors: DataFrame) -> DataFrame:

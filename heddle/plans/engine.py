@@ -1,4 +1,4 @@
-"""One repository's tables and the questions asked of them. Nothing is computed before a question's result is used."""
+"""One repository's tables and the questions asked of them. Authors, few rows, are written when it is made; nothing else is."""
 
 from __future__ import annotations
 
@@ -26,9 +26,8 @@ class Engine:
         Files are numbered by path, authors by their first line in order of path."""
         known = classify.classify(files.dropDuplicates(["path"]), threshold_kb * 1024).withColumn("file_id", F.xxhash64("path"))
         lines = lines.join(classify.analyzed(known).select("path", "file_id"), "path")
-        authors = identity.normalize(identity.upsert(lines.select("email", "name", F.struct("path", "line_number").alias("ord"))), policy)
-        own = lines.join(authors.select("email", F.col("id").alias("author_id")), "email")
-        blame = identity.repointed(own.select("author_id", "file_id", "line_number", "content", "hash", "commit_date"), authors)
+        authors = identity.stored(identity.normalize(identity.upsert(lines.select("email", "name", F.struct("path", "line_number").alias("ord"))), policy))
+        blame = identity.attributed(lines, authors).select("author_id", "file_id", "line_number", "content", "hash", "commit_date")
         return cls(classify.with_total_lines(known, blame), authors, blame)
 
     @classmethod

@@ -12,7 +12,7 @@ from ..sources import porcelain, tables
 
 
 def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify(tables.files(spark, sf_dir))
+    return classify.classify(tables.files(spark, sf_dir)).drop("kind")
 
 
 def repository_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,6 @@ def load(spark: SparkSession, sf_dir: str, policy: str = "strict") -> Tables:
     """Lines of analyzed files only; authors by e-mail in order of their first line, merged by the policy."""
     known = classify.classify(files(spark, sf_dir))
     named = lines(spark, sf_dir).join(classify.analyzed(known).select("file_id"), "file_id", "left_semi").join(people(spark, sf_dir), "person")
-    authors = identity.normalize(identity.upsert(named.select("email", "name", F.struct("file_id", "line", "person").alias("ord"))), policy)
-    blame = identity.repointed(named.join(authors.select("email", F.col("id").alias("author_id")), "email").select("author_id", "file_id", "commit_ts"), authors)
+    authors = identity.stored(identity.normalize(identity.upsert(named.select("email", "name", F.struct("file_id", "line", "person").alias("ord"))), policy))
+    blame = identity.attributed(named, authors).select("author_id", "file_id", "commit_ts")
     return Tables(classify.with_total_lines(known, blame), authors, blame)
