@@ -5,7 +5,7 @@ that decode alone: shard and block number, the documents' ids and lengths, a crc
 LANES interleaved coders, and checkpoints (row, word, coder states) from which several readers can start inside a block.
 Shards are ranges of doc_id; within one, documents ascend by doc_id. Whole documents are never cut between blocks.
 
-Null and empty texts are documents of the end id alone; null doc_ids come first; rows of equal doc_id are ordered by text.
+Null and empty texts are documents of the end id alone; null doc_ids come first; rows of equal doc_id are ordered by their ids.
 """
 
 from __future__ import annotations
@@ -19,8 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-LANES, BLOCK, CHECK, BITS = 512, 1 << 18, 256, 20
-LOW = np.uint64(1 << 31)
+from .common import written
+
+LANES, BLOCK, CHECK, BITS = 2048, 1 << 19, 64, 20
+#: States are at least LOW and below LOW << 32, so that they are exact as doubles, and so are floors of quotients.
+LOW, TOP_BITS = 1 << BITS, BITS + 32
 
 
 class Model:
@@ -29,7 +32,8 @@ class Model:
     def __init__(self, symbols: np.ndarray, counts: np.ndarray):
         order = np.argsort(symbols)
         self.symbols, counts = symbols[order].astype(np.uint32), counts[order].astype(np.float64)
-        self.bits = max(BITS, int(len(counts)).bit_length() + 2)
+        self.bits = BITS
+        assert len(counts) <= 1 << (BITS - 2), "too many symbols"
         f = np.maximum(1, np.floor(counts / max(counts.sum(), 1) * (1 << self.bits))).astype(np.int64)
         more = (1 << self.bits) - int(f.sum())
         for i in np.argsort(-f, kind="stable"):  # frequent symbols give or take what rounding left
@@ -38,16 +42,15 @@ class Model:
             step = more if more > 0 else max(more, 1 - int(f[i]))
             f[i] += step
             more -= step
-        self.f = f.astype(np.uint64)
-        self.c = np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.uint64)
+        self.f, self.c = f, np.concatenate([[0], np.cumsum(f)[:-1]]).astype(np.int64)
         self.slots = np.repeat(np.arange(len(f), dtype=np.uint32), f)
         self.index = np.zeros(int(self.symbols.max(initial=0)) + 1, np.int64)
         self.index[self.symbols] = np.arange(len(f))
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, list[int], list[int], bytes]:
         """words, then the row, the word and the states (64 bit, one a lane) of each checkpoint."""
-        at, n, bits, top = self.index[ids], len(ids), np.uint64(self.bits), np.uint64(63 - self.bits)
-        x = np.full(LANES, LOW)
+        at, n, bits, top = self.index[ids], len(ids), self.bits, TOP_BITS - self.bits
+        x = np.full(LANES, LOW, np.int64)
         out: list[np.ndarray] = []
         marks: list[tuple[int, int, bytes]] = []
         emitted = 0
@@ -56,13 +59,13 @@ class Model:
             v, f = x[: len(s)], self.f[s]
             over = v >= (f << top)
             if over.any():
-                out.append(v[over].astype("<u4"))  # the low half
+                out.append((v[over] & 0xFFFFFFFF).astype("<u4"))
                 emitted += len(out[-1])
-                v = np.where(over, v >> np.uint64(32), v)
-            q, r = np.divmod(v, f)
-            x[: len(s)] = (q << bits) + r + self.c[s]
+                v = np.where(over, v >> 32, v)
+            q = (v / f).astype(np.int64)
+            x[: len(s)] = (q << bits) + (v - q * f) + self.c[s]
             if row % CHECK == 0:
-                marks.append((row, emitted, x.astype("<u8").tobytes()))
+                marks.append((row, emitted, x.astype("<i8").tobytes()))
         marks.reverse()
         words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
         return words.tobytes(), [m[0] for m in marks], [emitted - m[1] for m in marks], b"".join(m[2] for m in marks)
@@ -70,8 +73,8 @@ class Model:
     def decode(self, n: int, words: bytes, rows: list[int], starts: list[int], states: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         """The ids of a block of n, or of its checkpoints first to last alone."""
         end = -(-n // LANES) if last is None or last >= len(rows) else rows[last]
-        w, x = np.frombuffer(words, "<u4").astype(np.uint64), np.frombuffer(states, "<u8").reshape(-1, LANES)[first].copy()
-        pos, bits, mask = starts[first], np.uint64(self.bits), np.uint64((1 << self.bits) - 1)
+        w, x = np.frombuffer(words, "<u4").astype(np.int64), np.frombuffer(states, "<i8").reshape(-1, LANES)[first].copy()
+        pos, bits, mask = starts[first], self.bits, (1 << self.bits) - 1
         begin = rows[first]
         out = np.empty(min(n, end * LANES) - begin * LANES, np.uint32)
         for row in range(begin, end):
@@ -82,7 +85,7 @@ class Model:
             to[:] = s
             v = self.f[s] * (v >> bits) + slot - self.c[s]
             need = np.flatnonzero(v < LOW)
-            v[need] = (v[need] << np.uint64(32)) | w[pos : pos + len(need)]
+            v[need] = (v[need] << 32) | w[pos : pos + len(need)]
             pos += len(need)
             x[: len(to)] = v
         if end * LANES >= n and (pos != len(w) or (x != LOW).any()):
@@ -90,24 +93,34 @@ class Model:
         return self.symbols[out]
 
 
-def counts(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
-    """(symbol, n) over every id of all documents; one row a symbol and task is shuffled."""
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids: little-endian 32-bit numbers with end_id last)."""
+    last = end_id.to_bytes(4, "little")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .tokens import memory
 
-        m, total = memory(tokenizer), np.zeros(1 << 16, np.int64)
+        m = memory(tokenizer)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            got = np.bincount(np.frombuffer(b"".join(map(m.ids, texts)), "<u4"), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.ids(t.as_py()) + last for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
+
+    return docs.mapInArrow(of, "doc_id long, ids binary")
+
+
+def counts(tokens: DataFrame) -> DataFrame:
+    """(symbol, n) over every id of all documents; one row a symbol and task is shuffled."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, np.int64)
+        for b in batches:
+            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=len(total))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[: len(got)] += got
-            total[end_id] += len(texts)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["symbol", "n"])
 
-    return docs.select(text).mapInArrow(of, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(of, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
 def fitted(spark: SparkSession, path: str) -> Model:
@@ -120,17 +133,14 @@ BLOCKS = "shard int, block int, n_ids long, crc32 long, doc_ids array<long>, len
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
-    """Tokenizes each whole text, appends end_id, and writes the folder path. Two passes: counts, then blocks."""
+    """Tokenizes each whole text once, appends end_id, and writes the folder path: first the counts, then the blocks."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts(docs, tokenizer, end_id).coalesce(1).write.parquet(f"{path}/model")
+    tokens = written(tokenized(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, end_id))
+    counts(tokens).coalesce(1).write.parquet(f"{path}/model")
     shared = spark.sparkContext.broadcast(fitted(spark, path))  # bounded by the vocabulary
-    last = end_id.to_bytes(4, "little")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import memory
-
-        m, model, shard, number = memory(tokenizer), shared.value, TaskContext.get().partitionId(), 0
+        model, shard, number = shared.value, TaskContext.get().partitionId(), 0
         ids: list[bytes] = []
         owners: list[int | None] = []
         held = 0
@@ -143,8 +153,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids.append(m.ids(t.as_py()) + last)
+            for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(raw)
                 owners.append(d)
                 held += len(ids[-1]) // 4
                 if held >= BLOCK:
@@ -154,7 +164,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
             yield block()
 
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = tokens.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     ordered.mapInArrow(of, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
