@@ -93,8 +93,16 @@ class Model:
         return self.symbols[out]
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, ids: little-endian 32-bit numbers with end_id last)."""
+def id_type(tokenizer: str, end_id: int) -> str:
+    """16 bits where all ids fit, else 32."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, ids: numbers of that kind with end_id last)."""
     last = end_id.to_bytes(4, "little")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,18 +110,18 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         m = memory(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.ids(t.as_py()) + last for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(m.ids(t.as_py()) + last, "<u4").astype(kind).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
 
     return docs.mapInArrow(of, "doc_id long, ids binary")
 
 
-def counts(tokens: DataFrame) -> DataFrame:
+def counts(tokens: DataFrame, kind: str) -> DataFrame:
     """(symbol, n) over every id of all documents; one row a symbol and task is shuffled."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u4"), minlength=len(total))
+            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind), minlength=len(total))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[: len(got)] += got
@@ -135,8 +143,10 @@ BLOCKS = "shard int, block int, n_ids long, crc32 long, doc_ids array<long>, len
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
     """Tokenizes each whole text once, appends end_id, and writes the folder path: first the counts, then the blocks."""
     spark = docs.sparkSession
-    tokens = written(tokenized(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, end_id))
-    counts(tokens).coalesce(1).write.parquet(f"{path}/model")
+    kind = id_type(tokenizer, end_id)
+    size = int(kind[-1])
+    tokens = written(tokenized(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tokenizer, end_id, kind))
+    counts(tokens, kind).coalesce(1).write.parquet(f"{path}/model")
     shared = spark.sparkContext.broadcast(fitted(spark, path))  # bounded by the vocabulary
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +156,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
         held = 0
 
         def block() -> pa.RecordBatch:
-            raw = b"".join(ids)
-            words, rows, starts, states = model.encode(np.frombuffer(raw, "<u4"))
-            values = [shard, number, len(raw) // 4, zlib.crc32(raw), owners, [len(i) // 4 for i in ids], rows, starts, states, words]
+            all_ids = np.frombuffer(b"".join(ids), kind).astype("<u4")
+            words, rows, starts, states = model.encode(all_ids)
+            values = [shard, number, len(all_ids), zlib.crc32(all_ids.tobytes()), owners, [len(i) // size for i in ids], rows, starts, states, words]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
@@ -156,7 +166,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(raw)
                 owners.append(d)
-                held += len(ids[-1]) // 4
+                held += len(raw) // size
                 if held >= BLOCK:
                     yield block()
                     number, ids, owners, held = number + 1, [], [], 0
