@@ -55,7 +55,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 2000)
-    return lm.scored(table(spark, sf_dir, "documents"))
+    return lm.scored(table(spark, sf_dir, "documents"), order=2)
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
