@@ -25,8 +25,11 @@ from .common import BLANKS, let, salted_join, written
 SYMBOLS = "#*$%&|<>"
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SCALE = 256
-#: Least standard deviation of each dimension, as clean text may have none at all (no symbols, no repeats).
-FLOORS = (0.15, 0.5, 0.6, 0.6)
+#: Least standard deviation of each dimension, as clean text may have none at all (no symbols, no repeats). At most an eighth
+#: of what the dimension reaches past the base rules (15, 7.6, 4.1, 3.2), so that each alone can pass the cutoff.
+FLOORS = (0.15, 0.5, 0.4, 0.4)
+#: Level of the cutoff of the registered query and the pipeline.
+LEVEL = 0.9999
 P = len(FLOORS)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 
@@ -190,15 +193,15 @@ def vectors_of(stats: DataFrame) -> DataFrame:
     return keyed(stats.filter(~F.col("base_failed"))).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), *vector())
 
 
-def rules(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+def rules(docs: DataFrame, text: str = "text", level: float = 1 - 1e-9, **how) -> DataFrame:
     """(doc_id, lang, source, STATS, n_lines, base_failed, distance, kept) of every row of docs."""
     stats = written(with_stats(docs.select("doc_id", "lang", "source", text), text).drop(text))
-    return judged(stats, estimates(vectors_of(stats), **how))
+    return judged(stats, estimates(vectors_of(stats), **how), level)
 
 
-def keep(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+def keep(docs: DataFrame, text: str = "text", level: float = 1 - 1e-9, **how) -> DataFrame:
     """The rows of docs that rules() keeps, with their own columns. Texts are read twice and never shuffled."""
     slim = written(vectors_of(with_stats(docs.select("lang", "source", text), text)))
     extra = {c: f"_own_{c}" for c in docs.columns if c in {*STATS, "n_lines", "base_failed", "distance", "kept"}}
-    out = judged(with_stats(docs.withColumnsRenamed(extra), text), estimates(slim, **how)).filter("kept")
+    out = judged(with_stats(docs.withColumnsRenamed(extra), text), estimates(slim, **how), level).filter("kept")
     return out.select(*(F.col(f"`{extra.get(c, c)}`").alias(c) for c in docs.columns))

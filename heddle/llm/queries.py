@@ -49,7 +49,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.rules(table(spark, sf_dir, "documents"))
+    out = quality.rules(table(spark, sf_dir, "documents"), level=quality.LEVEL)
     return out.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 

@@ -128,3 +128,24 @@ def test_empty_table(spark):
 
 def test_chi2():
     assert Q.chi2(0.95, 4) == pytest.approx(9.4877, abs=1e-3) and Q.chi2(0.975, 4) == pytest.approx(11.1433, abs=1e-3)
+
+
+def test_each_statistic_alone_rejects(spark, tmp_path):
+    from heddle.llm import queries
+
+    r = random.Random(6)
+    made = lambda n: ["".join(r.choices("abcdefgh", k=r.randint(4, 7))) for _ in range(n)]
+    prose = lambda lines: "\n".join(" ".join(made(10)) for _ in range(lines))
+    rows = [(i, prose(r.randint(10, 40)), "en", "a", None) for i in range(200)]
+    long = " ".join(w * 2 for w in made(200))
+    symbols = " ".join(w + ("#" if i % 2 else "") for i, w in enumerate(made(200)))
+    lines = "\n".join(f"{a}\nshare" for a in prose(20).split("\n"))  # every second line; no window of three words twice
+    phrases = [" ".join(made(3)) for _ in range(15)]
+    words = "\n".join(" ".join([*made(5), p, *made(2)]) for p in phrases * 2)  # 90 of 300 words
+    rows += [(1000 + k, t, "en", "a", None) for k, t in enumerate([long, symbols, lines, words])]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in queries.op5_quality(spark, str(tmp_path)).collect()}
+    assert got[1002].n_dup_lines == 19 and got[1002].n_repeat_words == 0 and got[1003].n_dup_lines == 0 and got[1003].n_repeat_words == 90
+    assert not any(x.base_failed for x in got.values())
+    assert {d for d, x in got.items() if not x.kept} == {1000, 1001, 1002, 1003}
