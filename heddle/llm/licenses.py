@@ -27,7 +27,10 @@ WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 WIDTH, ROWS, BLOCK, MOST = 5, 2, 1 << 18, 5000
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-#: Notices and openings of common licenses.
+_GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+
+#: Notices, openings and short whole texts of common licenses.
 TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
@@ -41,6 +44,15 @@ TEMPLATES = {
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "GPL-2.0": _GNU.format("program", "General Public License", "2"),
+    "LGPL-2.1": _GNU.format("library", "Lesser General Public License", "2.1"),
+    "LGPL-3.0": _GNU.format("program", "Lesser General Public License", "3"),
+    "AGPL-3.0": _GNU.format("program", "Affero General Public License", "3"),
+    "BSD-3-Clause": _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/.",
 }
 
 
@@ -169,6 +181,14 @@ class Index:
                     first, last, share = a, b, c
             yield doc, name, first, last, share
 
+    def best(self, found: list[tuple[int, str, int, int, float]]) -> list[tuple[int, str, int, int, float]]:
+        """Of matches that overlap by half the shorter one, the one with most shingles matched, then of highest containment."""
+        chosen: dict[int, list[tuple[int, str, int, int, float]]] = defaultdict(list)
+        for x in sorted(found, key=lambda x: (-round(x[4] * len(self.sets[x[1]])), -x[4], x)):
+            if all(2 * (min(x[3], y[3]) - max(x[2], y[2])) < min(x[3] - x[2], y[3] - y[2]) for y in chosen[x[0]]):
+                chosen[x[0]].append(x)
+        return sorted(x for some in chosen.values() for x in some)
+
     def verified(self, x: np.ndarray, live: np.ndarray, owner: np.ndarray, start: int, s: int, name: str) -> tuple[int, int, int, float] | None:
         """The exact share in and around the window, within the text in which the window's first shared shingle lies."""
         low, high = max(0, start - s // 4), start + s + s // 4
@@ -183,8 +203,9 @@ class Index:
         return (int(doc), int(at[0]), int(at[-1]), share) if share >= self.containment else None
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = 0.8, sure: float = 0.999, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, license, start, stop, containment): a row a match; start and stop are code points of the text."""
+def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = 0.8, sure: float = 0.999, doc_id: str = "doc_id", text: str = "text", best: bool = False) -> DataFrame:
+    """(doc_id, license, start, stop, containment): a row a match; start and stop are code points of the text. best: of
+    overlapping matches only Index.best()."""
     kinds = "doc_id long, license string, start long, stop long, containment double"
     names = [c.split()[0] for c in kinds.split(", ")]
     templates = dict(templates)
@@ -200,7 +221,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment:
                 held += len(texts[-1])
                 if held > 4_000_000 or i == len(ids) - 1:
                     rows = []
-                    for k, name, first, last, share in index.found(texts):
+                    for k, name, first, last, share in index.best([*index.found(texts)]) if best else index.found(texts):
                         at = [(m.start(), m.end()) for m in WORD.finditer(texts[k].lower())]
                         rows.append((ids[begin + k], name, at[first][0], at[last - 1][1], share))
                     if rows:

@@ -45,7 +45,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch_rows(spark, 1000)
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"), best=True)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,21 @@ def test_empty_table(spark):
     assert L.scan(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(AssertionError):
         L.scan(spark.createDataFrame([], SCHEMA), {"none": "--"})
+
+
+def test_licenses_of_a_family_are_told_apart(spark, tmp_path):
+    from heddle.llm import queries
+
+    gnu = lambda what, v: f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {what}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {what}General Public License for more details."
+    bsd = L.TEMPLATES["BSD-2-Clause"]
+    third = " 3. Neither the name of Example Corp nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    texts = {"GPL-2.0": gnu("", 2), "GPL-3.0": gnu("", 3), "LGPL-3.0": gnu("Lesser ", 3), "AGPL-3.0": gnu("Affero ", 3), "LGPL-2.1": L.TEMPLATES["LGPL-2.1"], "BSD-2-Clause": bsd, "BSD-3-Clause": bsd + third}
+    tail = {"GPL-2.0": " You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."}
+    for name, what in (("LGPL-3.0", "Lesser "), ("AGPL-3.0", "Affero "), ("GPL-3.0", "")):
+        tail[name] = f" You should have received a copy of the GNU {what}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    rows = [(i, "some words before\n" + t + tail.get(name, ""), "x") for i, (name, t) in enumerate(texts.items())]
+    rows += [(100 + i, t, "x") for i, t in enumerate(texts.values())]  # without the last sentence
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((x.doc_id, x.license) for x in queries.op4_licenses(spark, str(tmp_path)).collect())
+    names = [*texts]
+    assert got == [*enumerate(names)] + [(100 + i, n) for i, n in enumerate(names)]
