@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest (operator 10); DataFrame functions only.
 
-Candidates of a whole text are values assigned to a word such as token or password, long strings that mix in digits, and PEM
-private keys. Their features are length, transitions between character classes, distinct characters, coverage by dictionary
+Candidates of a whole text are values assigned to a name with a word such as token or password, passwords in URLs, text after
+"bearer", long strings that mix in digits or both cases, and PEM private keys. Their features are length, transitions between character classes, distinct characters, coverage by dictionary
 words, the path (a column, if given) and the words before and after. The forest is trained from labelled findings, a table
 (candidate, before, after, path, label); made_findings() makes such a table of `rows` rows (a parameter) from a seed.
 
@@ -19,13 +19,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
-ASSIGNED = rf"(?<={NAMES}[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?)[^\s\"'=:,;]{{6,}}+"
-MIXED = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
+NAMES = r"(?i:password|passwd|passphrase|pwd|(?<![a-z])pass|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
+SIGN = r"[A-Za-z0-9_-]{0,12}[\"']?[ ]{0,2}(?:=>|[=:])[ ]{0,2}[\"']?"
+ASSIGNED = rf"(?<=[=:> \"'])(?!>)(?<={NAMES}{SIGN})[^\s\"'=:,;]{{6,}}+"
+URL = r"(?<=:)(?<=://[^\s/@:]{0,64}:)[^\s/@:]{1,200}(?=@)"
+BEARER = r"(?<= )(?<=(?i:bearer)[ ]{1,2})[A-Za-z0-9._~+/=-]{8,}+"
+#: Not at a name whose value ASSIGNED takes.
+UNNAMED = rf"(?<![A-Za-z0-9+/_=-])(?![A-Za-z0-9_-]{{0,20}}{NAMES}[A-Za-z0-9_-]{{0,12}}=[^\s\"'=:,;>]{{6}})"
+CASES = UNNAMED + r"(?=[A-Za-z0-9+/_=-]*?[a-z])(?=[A-Za-z0-9+/_=-]*?[A-Z])[A-Za-z0-9+/_=-]{16,}+"
+MIXED = UNNAMED + r"(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 PEM = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-CANDIDATE = f"{PEM}|{ASSIGNED}|{MIXED}"
+CANDIDATE = f"{PEM}|{URL}|{BEARER}|{ASSIGNED}|{MIXED}|{CASES}"
 #: Cheaper than CANDIDATE, and found in every text in which that is.
-GATE = rf"{NAMES}[\"']?[ ]{{0,2}}[=:]|[A-Za-z0-9+/_=-]{{16}}|-----BEGIN "
+GATE = rf"{NAMES}{SIGN}|://[^\s/@:]{{0,64}}:|(?i:bearer) |[A-Za-z0-9+/_=-]{{16}}|-----BEGIN "
 AROUND = 48
 
 #: Words of placeholders, code and prose that random strings do not hold.
@@ -57,7 +63,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9]", "-"), "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "d")
     kinds = F.translate(kinds, "-", "o")
-    out = {"f_length": F.least(n, F.lit(400.0)), "f_distinct": F.size(F.array_distinct(F.split(F.left(c, F.lit(200)), ""))) / F.least(n, F.lit(200.0))}
+    out = {"f_length": F.least(n, F.lit(400.0)), "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / n}
     found = found.withColumn("_kinds", kinds)
     for a in "lUdo":
         out[f"f_{a}"] = (n - F.length(F.replace("_kinds", F.lit(a), F.lit("")))) / n
@@ -72,7 +78,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
     for name, words in NEAR.items():
         out[f"f_before_{name}"] = F.col("before").rlike(words).cast("double")
         out[f"f_after_{name}"] = F.col("after").rlike(words).cast("double")
-    out["f_assigned"] = F.col("before").rlike(rf"{NAMES}[\"']?[ ]{{0,2}}[=:][ ]{{0,2}}[\"']?$").cast("double")
+    out["f_assigned"] = F.col("before").rlike(rf"{NAMES}{SIGN}$").cast("double")
     out["f_path_test"] = F.col("path").rlike(r"(?i)test|example|sample|doc|fixture|mock").cast("double")
     return found.withColumns({k: v.cast("double") for k, v in out.items()}).drop("_kinds"), [*out]
 

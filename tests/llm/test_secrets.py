@@ -66,3 +66,9 @@ def test_planted(spark, model):
 
 def test_empty_table(spark, model):
     assert S.scan(spark.createDataFrame([], SCHEMA).withColumn("candidate", F.lit("x")), model).count() == 0
+
+
+def test_more_forms_are_candidates(spark):
+    texts = {0: ("at postgres://ann:hunter2@db.example/x", "hunter2"), 1: ("key QwErTyUiOpAsDfGhJk end", "QwErTyUiOpAsDfGhJk"), 2: ("Authorization: Bearer abcdefgh", "abcdefgh"), 3: ("SECRET_KEY=abc12345", "abc12345"), 4: ("DB_PASS=hunter2x", "hunter2x"), 5: ("passphrase: correct1", "correct1"), 6: ("password => hunter2x", "hunter2x")}
+    docs = spark.createDataFrame([(i, t, "", 0) for i, (t, _) in texts.items()], SCHEMA)
+    assert {x.doc_id: x.candidate for x in S.candidates(docs).collect()} == {i: c for i, (_, c) in texts.items()}
