@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 
 from .constants import BINARY_EXTENSIONS, IGNORED_EXTENSIONS, IGNORED_NEEDLES, THRESHOLD_KB, TITLES, UNKNOWN_TITLE
 
-#: What a name may hold besides white space.
-NAME_CHARS = r"\w\sÀ-ɏ"
+#: White space of JavaScript's \s and trim(), which results follow; Java's \s is ASCII's.
+SPACE = r"\t\n\x0B\f\r \xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+#: What a name may hold.
+NAME_CHARS = rf"\w{SPACE}À-ɏ"
 
 
 def half_up(x: Column) -> Column:
@@ -76,24 +80,45 @@ def is_binary(path: Column) -> Column:
 
 def is_ignored(path: Column) -> Column:
     """By extension, or by what the path contains."""
-    needles = "|".join(rf"\Q{n}\E" for n in IGNORED_NEEDLES)
-    return F.coalesce(extension(path).isin(*IGNORED_EXTENSIONS), F.lit(False)) | path.rlike(needles)
+    return F.coalesce(extension(path).isin(*IGNORED_EXTENSIONS), F.lit(False)) | path.rlike(any_needle(IGNORED_NEEDLES))
+
+
+def any_needle(needles: Iterable[str]) -> str:
+    """A pattern that finds any of them, with common beginnings factored out so that each character is looked at once."""
+    tree: dict = {}
+    for needle in needles:
+        at = tree
+        for c in needle:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        if "" in at:
+            return ""
+        some = [(re.escape(c), pattern(below)) for c, below in at.items()]
+        last = [c for c, below in some if not below]
+        out = [c + below for c, below in some if below]
+        if last:
+            out.append(last[0] if len(last) == 1 else f"[{''.join(last)}]")
+        return out[0] if len(out) == 1 else f"(?:{'|'.join(out)})"
+
+    return pattern(tree)
 
 
 def is_blank(line: Column) -> Column:
     """Nothing but white space, Unicode's included, and byte order marks."""
-    return line.rlike(r"(?U)^[\s﻿]*$")
+    return line.rlike(rf"^[{SPACE}]*\z")
 
 
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
+    return F.regexp_replace(s, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def display_name(name: Column) -> Column:
     """One comma: what follows it comes first; runs of white space are one blank."""
     parts = F.split(trimmed(name), ",")
     turned = F.when(F.size(parts) == 2, F.concat_ws(" ", trimmed(F.get(parts, 1)), trimmed(F.get(parts, 0)))).otherwise(trimmed(name))
-    return trimmed(F.regexp_replace(turned, r"(?U)\s+", " "))
+    return trimmed(F.regexp_replace(turned, f"[{SPACE}]+", " "))
 
 
 def clean_email(email: Column) -> Column:
@@ -102,7 +127,7 @@ def clean_email(email: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """What names are compared by: letters, digits, underscores and single blanks, lower-cased."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, f"[^{NAME_CHARS}]", ""), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(name, f"[^{NAME_CHARS}]", ""), f"[{SPACE}]+", " ")))
 
 
 def compare_key(s: Column) -> Column:
@@ -111,8 +136,8 @@ def compare_key(s: Column) -> Column:
 
 def has_artifacts(name: Column) -> Column:
     """Looks like an encoding: letters, digits and + / = alone, or any character that names do not hold."""
-    solid = F.regexp_replace(name, r"\s", "")
-    return solid.rlike("^[A-Za-z0-9+/=]+$") | name.rlike(f"[^{NAME_CHARS}.-]")
+    solid = F.regexp_replace(name, f"[{SPACE}]", "")
+    return solid.rlike(r"^[A-Za-z0-9+/=]+\z") | name.rlike(f"[^{NAME_CHARS}.-]")
 
 
 def email_part(email: Column, at: int) -> Column:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import numbered
+from ..storage import written as stored
 
 #: Seeds that one round may add; all that a task or a broadcast holds of other authors.
 ROUND = 256
@@ -19,8 +19,7 @@ def upsert(seen: DataFrame) -> DataFrame:
     """seen (email, name, and ord, any orderable column) -> authors (id, name, email, display_name), one for each e-mail as it
     is written. The name is the first seen, ids count by first appearance."""
     first = seen.groupBy("email").agg(F.min(F.struct("ord", "name")).alias("f"))
-    ids = F.row_number().over(Window.orderBy("f.ord", "email")).cast("long")
-    return first.select(ids.alias("id"), F.col("f.name").alias("name"), "email", S.display_name(F.col("f.name")).alias("display_name"))
+    return numbered(first, ["f.ord", "email"], "id").select("id", F.col("f.name").alias("name"), "email", S.display_name(F.col("f.name")).alias("display_name"))
 
 
 def strings_similar(a: Column, b: Column, email: bool) -> Column:
@@ -62,15 +61,6 @@ def loose_clusters(authors: DataFrame, each: int = ROUND) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, none)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written to the folder that executors share; a local one where none is set."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="heddle-")
-    path = f"{base.rstrip('/')}/heddle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def strict_clusters(authors: DataFrame) -> DataFrame:
     """authors with seed: the first of the same e-mail, blanks around it and case aside."""
     return authors.withColumn("seed", F.min("id").over(Window.partitionBy(F.lower(S.trimmed(F.col("email"))))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..storage import numbered
 
 
 def line_counts(blame: DataFrame) -> DataFrame:
@@ -17,8 +18,8 @@ def line_counts(blame: DataFrame) -> DataFrame:
 def contributions(authors: DataFrame, blame: DataFrame) -> DataFrame:
     """Canonical authors with lines: total_lines, total_files, percentage, rank by lines (ties by id) and title."""
     out = authors.filter("is_canonical").select("id", "name", "email", "display_name").join(line_counts(blame), "id")
-    ranked = Window.orderBy(F.desc("total_lines"), "id")  # a row an author
-    out = out.withColumns({"rank": F.row_number().over(ranked), "_all": F.sum("total_lines").over(Window.partitionBy()), "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    out = numbered(out, [F.desc("total_lines"), "id"], "rank").withColumn("rank", F.col("rank").cast("int"))
+    out = out.crossJoin(F.broadcast(out.agg(F.sum("total_lines").alias("_all"), F.count(F.lit(1)).alias("_n"))))  # one row
     out = out.withColumn("percentage", S.author_percentage(F.col("total_lines"), F.col("_all")))
     return out.withColumn("title", S.title_at(S.distributed_index(F.col("rank") - 1, F.col("_n")))).drop("_all", "_n")
 
@@ -64,14 +65,25 @@ def developer_report(authors: DataFrame, files: DataFrame, blame: DataFrame, ema
 
 def pie(contributed: DataFrame, n: int = 10) -> DataFrame:
     """The first n contributors with their segments' widths, and how many others there are."""
-    others = F.greatest(F.count(F.lit(1)).over(Window.partitionBy()) - n, F.lit(0))
-    out = contributed.withColumn("others", others).filter(F.col("rank") <= n)
+    others = contributed.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("others"))  # one row
+    out = contributed.filter(F.col("rank") <= n).crossJoin(F.broadcast(others))
     return out.select("rank", "display_name", "percentage", S.half_up(F.col("percentage")).cast("long").alias("rounded"), S.segment_width(F.col("percentage")).alias("width"), "others")
 
 
 def first_and_last(contributed: DataFrame) -> DataFrame:
     """The contributor of most lines, and of least if there is another."""
-    last = F.max("rank").over(Window.partitionBy())
-    out = contributed.withColumn("_last", last).filter((F.col("rank") == 1) | (F.col("rank") == F.col("_last")))
+    last = contributed.agg(F.max("rank").alias("_last"))  # one row
+    out = contributed.crossJoin(F.broadcast(last)).filter((F.col("rank") == 1) | (F.col("rank") == F.col("_last")))
     place = F.when(F.col("rank") == 1, "first").otherwise("last")
     return out.select(place.alias("place"), S.short_name(F.col("display_name")).alias("name"), S.capitalized(F.col("title")).alias("title"), S.half_up(F.col("percentage")).cast("long").alias("percentage"))
+
+
+def nth(contributed: DataFrame, n: int) -> DataFrame:
+    """The contributor at place n, counted from 1; no row beyond the last."""
+    return contributed.filter(F.col("rank") == n)
+
+
+def developers(authors: DataFrame, blame: DataFrame) -> DataFrame:
+    """One row: how many authors have lines (n_developers), and how many there are before any merge (n_authors)."""
+    own = authors.filter("is_canonical").join(blame.select(F.col("author_id").alias("id")).distinct(), "id", "left_semi")
+    return own.agg(F.count(F.lit(1)).alias("n_developers")).crossJoin(F.broadcast(authors.agg(F.count(F.lit(1)).alias("n_authors"))))  # a row each

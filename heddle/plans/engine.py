@@ -1,7 +1,8 @@
-"""One repository's tables and the questions asked of them. Authors, few rows, are written when it is made; nothing else is."""
+"""One repository's tables and the questions asked of them. Files, classified, and authors are written when it is made; lines are not."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ class Engine:
         """files (path, size), lines as porcelain.parse() gives them; lines of files that are not analyzed don't count.
 
         Files are numbered by path, authors by their first line in order of path."""
-        known = classify.classify(files.dropDuplicates(["path"]), threshold_kb * 1024).withColumn("file_id", F.xxhash64("path"))
+        known = identity.stored(classify.classify(files.dropDuplicates(["path"]), threshold_kb * 1024).withColumn("file_id", F.xxhash64("path")))
         lines = lines.join(classify.analyzed(known).select("path", "file_id"), "path")
         authors = identity.stored(identity.normalize(identity.upsert(lines.select("email", "name", F.struct("path", "line_number").alias("ord"))), policy))
         blame = identity.attributed(lines, authors).select("author_id", "file_id", "line_number", "content", "hash", "commit_date")
@@ -37,7 +38,7 @@ class Engine:
         read = spark.read.format("git").option("repository", repository)
         files = read.load()
         kept = classify.analyzed(classify.classify(files, how.get("threshold_kb", THRESHOLD_KB) * 1024)).select("path")
-        chosen = "\n".join(r.path for r in kept.collect())  # names alone, as many as the working tree has files
+        chosen = json.dumps([r.path for r in kept.collect()])  # names alone, as many as the working tree has files
         return cls.of(files, porcelain.parse(read.option("what", "blame").option("paths", chosen).load()), **how)
 
     @classmethod
@@ -62,6 +63,12 @@ class Engine:
         asked = self.authors.sparkSession.createDataFrame([(email,)], "email string")
         return identity.find_canonical(self.authors, asked).first().canonical_id
 
+    def nth_author(self, n: int) -> DataFrame:
+        return ownership.nth(self.author_contributions(), n)
+
+    def developers(self) -> DataFrame:
+        return ownership.developers(self.authors, self.blame)
+
     def inactive_authors(self) -> DataFrame:
         return ownership.inactive(self.authors, self.blame)
 

@@ -100,6 +100,59 @@ def inactive_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ownership.inactive(authors, identity.repointed(early, authors)).select("id", "email")
 
 
+def _teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors by person whose names come in threes: a word, the word with a first name after a comma, and with a suffix."""
+    letters = lambda text: F.translate(F.md5(text.cast("binary")), "0123456789", "ghijklmnop")
+    person = F.col("person")
+    base = F.left(letters(F.concat(F.lit("t"), F.floor(person / 3).cast("string"))), F.lit(12))
+    name = F.when(person % 3 == 1, F.concat(base, F.lit(", Y"))).when(person % 3 == 2, F.concat(F.initcap(base), F.lit("  jr."))).otherwise(base)
+    email = F.concat(F.left(letters(F.concat(F.lit("m"), person.cast("string"))), F.lit(10)), F.lit("@d"), (person % 7).cast("string"), F.lit(".example"))
+    return tables.people(spark, sf_dir).select(person.alias("id"), name.alias("name"), email.alias("email"), S.display_name(name).alias("display_name"))
+
+
+def _team_lines(spark: SparkSession, sf_dir: str, authors: DataFrame) -> DataFrame:
+    """Lines of analyzed files, but of every tenth team none, with their canonical authors."""
+    known = classify.analyzed(classify.classify(tables.files(spark, sf_dir))).select("file_id")
+    own = tables.lines(spark, sf_dir).filter("floor(person / 3) % 10 <> 0").join(known, "file_id", "left_semi")
+    return identity.repointed(own.select(F.col("person").alias("author_id"), "file_id"), authors)
+
+
+def author_contributions_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of merged authors count for the canonical one."""
+    authors = identity.stored(identity.normalize(_teams(spark, sf_dir), "loose"))
+    return ownership.contributions(authors, _team_lines(spark, sf_dir, authors)).orderBy("rank")
+
+
+def ranked_authors_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All authors; those merged and those without lines have no place."""
+    authors = identity.stored(identity.normalize(_teams(spark, sf_dir), "loose"))
+    ranked = ownership.ranked_authors(authors, _team_lines(spark, sf_dir, authors))
+    return ranked.select("id", "display_name", "canonical_id", "is_canonical", "rank", "percentage", "title")
+
+
+def developers_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    authors = identity.stored(identity.normalize(_teams(spark, sf_dir), "loose"))
+    return ownership.developers(authors, _team_lines(spark, sf_dir, authors))
+
+
+def nth_author(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The author at the third place."""
+    t = tables.load(spark, sf_dir)
+    return ownership.nth(ownership.contributions(t.authors, t.blame), 3)
+
+
+def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with the white space and letters of several scripts, by each rule that reads names."""
+    odd = F.array(*map(F.lit, ODD))
+    rows = tables.people(spark, sf_dir).select("person", F.concat("name", F.get(odd, (F.col("person") % len(ODD)).cast("int")), F.lit("Müller")).alias("name"))
+    name = F.col("name")
+    return rows.select("person", S.clean_name(name).alias("clean"), S.display_name(name).alias("display"), S.has_artifacts(name).alias("artifacts"), S.is_blank(F.get(odd, (F.col("person") % len(ODD)).cast("int"))).alias("blank"))
+
+
+#: What comes between two names.
+ODD = (" ", "\xa0", "\u2003 ", "\ufeff", "\u2028", "\x85", ", ", "-", " 東京 ", "\t", ".", "'", "_9", " \u3000\x0b")
+
+
 def nonblank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents that are not blank, counted within each."""
     rows = tables.table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("all"))
@@ -142,10 +195,19 @@ def porcelain_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.lines(spark, sf_dir).join(who, "person")
     record = F.concat(F.sha1(F.concat_ws("-", "file_id", "line", "person").cast("binary")), F.format_string(" %d %d 1\nauthor %s\nauthor-mail <%s>\nauthor-time %d\nsummary author fake\n\tauthor ", "line", "line", "name", "email", F.unix_timestamp("commit_ts")), F.col("name"))
     texts = rows.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("porcelain"))
-    return porcelain.parse(texts.select(F.concat(F.lit("f"), "file_id").alias("path"), "porcelain")).drop("line_number")
+    texts = texts.select(F.concat(F.lit("f"), "file_id").alias("path"), "porcelain")
+    texts = texts.unionByName(spark.createDataFrame([("literal", LITERAL)], "path string, porcelain string"))
+    return porcelain.parse(texts).withColumn("line_number", F.when(F.col("path") == "literal", F.col("line_number")))  # of others the order is by hash
+
 
+#: A subject with a tab; content with a carriage return, line separators and next lines; blank content; content like a header.
+LITERAL = "\n".join(
+    f"{'abcde'[i] * 40} {i + 1} {i + 1} 1\nauthor Jörg\xa0Müller\nauthor-mail <j@x.example>\nauthor-time {86400 * i}\nsummary fix\tbug\tauthor no one\nprevious {'f' * 40} a b\nfilename a b\n\t{content}"
+    for i, content in enumerate(["one\r", "two\u2028author three\x85four", " \xa0\r", "\t" + "0" * 40 + " 1 1", "author five"])
+)
 
-QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse)}
+
+QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse)}
 
 
 def _values(xs) -> str:
@@ -195,6 +257,46 @@ seeds AS (SELECT unnest(seeds) AS seed FROM fold WHERE pos = (SELECT max(pos) FR
 claimed AS (SELECT k.id, min(s.seed) AS seed FROM keys k JOIN seeds s ON s.seed = k.pos OR (s.seed < k.pos AND EXISTS (SELECT 1 FROM alike x WHERE x.a = s.seed AND x.b = k.pos))
   GROUP BY k.id)"""
 
+GAP = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+LETTERS = "translate(md5({0}), '0123456789', 'ghijklmnop')"
+
+
+def _key(x: str) -> str:
+    """SQL of what names and e-mails are compared by."""
+    return f"regexp_replace({x}, '[._0-9-]', '', 'g')"
+
+
+def _like(a: str, b: str, share: float, low: int, high: int) -> str:
+    """SQL: two cleaned strings are similar."""
+    x, y = _key(a), _key(b)
+    return f"({a} <> '' AND {b} <> '' AND ({a} = {b} OR {x} = {y} OR contains({x}, {y}) OR contains({y}, {x}) OR levenshtein({x}, {y}) <= least(greatest(floor(greatest(length({x}), length({y})) * CAST({share} AS DOUBLE)), {low}), {high})))"
+
+
+TEAMS = f"""RECURSIVE {FILES},
+words AS (SELECT DISTINCT p_partkey % 400 AS id, {LETTERS.format("'t' || (p_partkey % 400) // 3")}[1:12] AS w, {LETTERS.format("'m' || p_partkey % 400")}[1:10] AS mail FROM part),
+names AS (SELECT id, CASE id % 3 WHEN 1 THEN w || ', Y' WHEN 2 THEN upper(w[1]) || w[2:] || '  jr.' ELSE w END AS name, mail || '@d' || id % 7 || '.example' AS email,
+  CASE id % 3 WHEN 1 THEN 'Y ' || w WHEN 2 THEN upper(w[1]) || w[2:] || ' jr.' ELSE w END AS display_name, mail, 'd' || id % 7 || '.example' AS domain FROM words),
+shown AS (SELECT *, row_number() OVER (ORDER BY id) AS pos, lower(trim(regexp_replace(regexp_replace(name, '[^a-zA-Z0-9_ ]', '', 'g'), ' +', ' ', 'g'))) AS c1,
+  lower(trim(regexp_replace(regexp_replace(display_name, '[^a-zA-Z0-9_ ]', '', 'g'), ' +', ' ', 'g'))) AS c2 FROM names),
+alike AS (SELECT a.pos AS a, b.pos AS b FROM shown a JOIN shown b ON a.pos < b.pos AND (a.email = b.email OR
+  {' OR '.join(_like(f'a.{p}', f'b.{q}', 0.4, 2, 6) for p in ('c1', 'c2') for q in ('c1', 'c2'))} OR (a.domain = b.domain AND {_like('a.mail', 'b.mail', 0.15, 1, 3)}))),
+before AS (SELECT k.pos, coalesce(list(s.a) FILTER (WHERE s.a IS NOT NULL), []) AS likes FROM shown k LEFT JOIN alike s ON s.b = k.pos GROUP BY k.pos),
+fold AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS seeds UNION ALL
+  SELECT f.pos + 1, CASE WHEN list_has_any(f.seeds, n.likes) THEN f.seeds ELSE list_append(f.seeds, n.pos) END FROM fold f JOIN before n ON n.pos = f.pos + 1),
+seeds AS (SELECT unnest(seeds) AS seed FROM fold WHERE pos = (SELECT max(pos) FROM fold)),
+claimed AS (SELECT k.pos, min(s.seed) AS seed FROM shown k JOIN seeds s ON s.seed = k.pos OR EXISTS (SELECT 1 FROM alike x WHERE x.a = s.seed AND x.b = k.pos) GROUP BY k.pos),
+readable AS (SELECT s.*, seed, NOT (regexp_full_match(replace(name, ' ', ''), '[A-Za-z0-9+/=]+') OR regexp_matches(name, '[^a-zA-Z0-9_ .-]')
+  OR regexp_full_match(replace(display_name, ' ', ''), '[A-Za-z0-9+/=]+') OR regexp_matches(display_name, '[^a-zA-Z0-9_ .-]')) AS ok FROM shown s JOIN claimed USING (pos)),
+chosen AS (SELECT *, first_value(id) OVER (PARTITION BY seed ORDER BY ok DESC, CASE WHEN ok THEN -length(display_name) ELSE 0 END, id) AS canonical_id FROM readable),
+own AS (SELECT canonical_id AS id, l_orderkey AS file_id FROM lineitem JOIN chosen ON l_partkey % 400 = chosen.id JOIN files ON l_orderkey = files.file_id
+  WHERE NOT is_binary AND NOT is_ignored AND NOT is_larger_than_threshold AND (l_partkey % 400) // 3 % 10 <> 0),
+counts AS (SELECT id, count(*) AS total_lines, count(DISTINCT file_id) AS total_files FROM own GROUP BY id),
+ranked AS (SELECT *, row_number() OVER (ORDER BY total_lines DESC, id) AS rank, sum(total_lines) OVER () AS everything, count(*) OVER () AS n FROM counts),
+shares AS (SELECT *, floor(CAST(total_lines AS DOUBLE) / CAST(everything AS DOUBLE) * 100 * 100 + CAST(0.5 AS DOUBLE)) / 100 AS percentage, greatest(1, n // 5) AS fifth FROM ranked),
+placed AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 49 * (rank - 1) WHEN n = 3 THEN [0, 12, 38][rank] WHEN rank - 1 < fifth THEN rank - 1
+  WHEN rank - 1 < n - fifth THEN 12 + rank - 1 - fifth ELSE 38 + rank - 1 - (n - fifth) END AS spot FROM shares),
+titled AS (SELECT *, CASE WHEN spot BETWEEN 0 AND {len(TITLES) - 1} THEN [{_values(TITLES)}][spot + 1] ELSE 'unknown' END AS title FROM placed)"""
+
 ORACLES = {
     "classify_files": f"WITH {FILES} SELECT * FROM files",
     "repository_stats": f"""WITH {BLAME} SELECT count(*) AS total_files, count(*) FILTER (WHERE NOT is_binary AND NOT is_ignored AND NOT is_larger_than_threshold) AS analyzed_files,
@@ -221,8 +323,17 @@ ORACLES = {
     "find_canonical_author": f"WITH {BLAME} SELECT e.email, a.id::BIGINT AS canonical_id FROM (SELECT DISTINCT email FROM people UNION ALL SELECT 'nobody@none.example') e LEFT JOIN authors a USING (email)",
     "inactive_authors": f"""WITH {STRICT} SELECT id, email FROM merged WHERE id = canonical_id AND id NOT IN
       (SELECT m.canonical_id FROM lineitem JOIN merged m ON l_partkey % 400 = m.id WHERE l_shipdate < TIMESTAMP '1992-02-01')""",
-    "nonblank_lines": r"""WITH l AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\s\p{Z}\x{85}\x{FEFF}\x0B]*'))) AS content,
-      generate_subscripts(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\s\p{Z}\x{85}\x{FEFF}\x0B]*')), 1) AS line_number FROM documents)
+    "author_contributions_loose": f"""WITH {TEAMS} SELECT id, name, email, display_name, total_lines, total_files, rank::INT AS rank, percentage, title FROM titled JOIN names USING (id)""",
+    "ranked_authors_loose": f"""WITH {TEAMS} SELECT c.id, c.display_name, canonical_id, c.id = canonical_id AS is_canonical, rank::INT AS rank, coalesce(percentage, 0.0::DOUBLE) AS percentage, title
+      FROM chosen c LEFT JOIN titled t USING (id)""",
+    "developers_loose": f"WITH {TEAMS} SELECT count(*) AS n_developers, (SELECT count(*) FROM names) AS n_authors FROM titled",
+    "nth_author": f"WITH {BLAME} SELECT id, name, email, name AS display_name, total_lines, total_files, rank::INT AS rank, percentage, title FROM titled WHERE rank = 3",
+    "clean_names": f"""WITH {PEOPLE}, r AS (SELECT person, [{_values(ODD)}][person % {len(ODD)} + 1] AS gap, name || [{_values(ODD)}][person % {len(ODD)} + 1] || 'Müller' AS name FROM people)
+      SELECT person, lower(trim(regexp_replace(regexp_replace(name, '[^\\w{GAP[1:-1]}À-ɏ]', '', 'g'), '{GAP}+', ' ', 'g'))) AS clean,
+      trim(regexp_replace(CASE WHEN len(string_split(name, ',')) = 2 THEN trim(string_split(name, ',')[2]) || ' ' || trim(string_split(name, ',')[1]) ELSE name END, '{GAP}+', ' ', 'g')) AS display,
+      regexp_full_match(regexp_replace(name, '{GAP}', '', 'g'), '[A-Za-z0-9+/=]+') OR regexp_matches(name, '[^\\w{GAP[1:-1]}À-ɏ.-]') AS artifacts, regexp_full_match(gap, '{GAP}*') AS blank FROM r""",
+    "nonblank_lines": r"""WITH l AS (SELECT doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\s\p{Z}\x{FEFF}\x0B]*'))) AS content,
+      generate_subscripts(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_full_match(x, '[\s\p{Z}\x{FEFF}\x0B]*')), 1) AS line_number FROM documents)
       SELECT doc_id, line_number::BIGINT AS line_number, sha256(content) AS content_sha256 FROM l""",
     "commit_iso_dates": "SELECT l_orderkey AS file_id, l_linenumber AS line, l_partkey % 400 AS person, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date FROM lineitem",
     "display_scalars": f"""WITH {BLAME}, cut AS (SELECT *, regexp_extract(filename, '^(.+)[.][^.]*$', 1) AS b0, regexp_extract(filename, '[.]([^.]*)$', 1) AS e FROM each),
@@ -236,5 +347,7 @@ ORACLES = {
       p AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 49 * place WHEN n = 3 THEN [0, 12, 38][place + 1] WHEN place < fifth THEN place WHEN place < n - fifth THEN 12 + place - fifth ELSE 38 + place - (n - fifth) END AS spot FROM g)
       SELECT n, place, CASE WHEN spot < {len(TITLES)} THEN [{_values(TITLES)}][spot + 1] ELSE 'unknown' END AS title, CASE WHEN spot < {len(TITLES)} THEN spot ELSE -1 END::BIGINT AS title_index FROM p""",
     "porcelain_parse": f"""WITH {PEOPLE} SELECT 'f' || l_orderkey AS path, 'author ' || name AS content, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey % 400) AS hash, name, email,
-      epoch(l_shipdate)::BIGINT AS epoch, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date FROM lineitem JOIN people ON l_partkey % 400 = person""",
+      epoch(l_shipdate)::BIGINT AS epoch, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date, NULL::INT AS line_number FROM lineitem JOIN people ON l_partkey % 400 = person
+      UNION ALL SELECT 'literal', content, repeat(h, 40), 'Jörg' || chr(160) || 'Müller', 'j@x.example', 86400 * day, strftime(TIMESTAMP '1970-01-01' + to_days(day), '%Y-%m-%dT%H:%M:%S') || '.000Z', n FROM (VALUES
+        ('one' || chr(13), 'a', 0, 1), ('two' || chr(8232) || 'author three' || chr(133) || 'four', 'b', 1, 2), (chr(9) || repeat('0', 40) || ' 1 1', 'd', 3, 3), ('author five', 'e', 4, 4)) v(content, h, day, n)""",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -25,14 +27,19 @@ def overview(engine: Engine) -> str:
     return one.first()[0]
 
 
-def extended(engine: Engine, most: int = 50) -> str:
-    """The first authors, with their five files each."""
-    rows = engine.extended_report().limit(most).select(_author_line(), F.transform("top_files", _file_line)).collect()
+def _first(rows: DataFrame, most: int | None) -> Iterator[Row]:
+    """Rows as they come, a partition at a time; all where most is None."""
+    return (rows if most is None else rows.limit(most)).toLocalIterator()
+
+
+def extended(engine: Engine, most: int | None = None) -> str:
+    """The authors, all or the first `most`, with their five files each."""
+    rows = _first(engine.extended_report().select(_author_line(), F.transform("top_files", _file_line)), most)
     return "\n".join([overview(engine), *(x for line, files in rows for x in [line, *(files or [])])])
 
 
-def simple(engine: Engine, most: int = 50) -> str:
-    return "\n".join([overview(engine), *(r[0] for r in engine.author_contributions().limit(most).select(_author_line()).collect())])
+def simple(engine: Engine, most: int | None = None) -> str:
+    return "\n".join([overview(engine), *(r[0] for r in _first(engine.author_contributions().select(_author_line()), most))])
 
 
 def developer(engine: Engine, email: str) -> str:

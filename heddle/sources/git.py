@@ -1,11 +1,12 @@
 """A git working tree as a Spark data source: its tracked files, or the blame output of each.
 
 spark.dataSource.register(GitSource); spark.read.format("git").option("repository", path).load() gives (path, size);
-with option("what", "blame") it gives (path, porcelain), and option("paths", ..) a newline-separated choice of files. The
+with option("what", "blame") it gives (path, porcelain), and option("paths", ..) a choice of files, a JSON array. The
 repository must be at the same place for every executor."""
 
 from __future__ import annotations
 
+import json
 import os
 import subprocess
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ class Reader(DataSourceReader):
         self.chosen, self.each = options.get("paths"), int(options.get("filesPerTask", 50))
 
     def partitions(self) -> list[Files]:
-        paths = [p for p in self.chosen.split("\n") if p] if self.chosen is not None else tracked(self.root)
+        paths = json.loads(self.chosen) if self.chosen is not None else tracked(self.root)
         return [Files(paths[i : i + self.each]) for i in range(0, len(paths), self.each)]
 
     def read(self, partition: Files) -> Iterator[tuple]:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-HEADER = r"(?m)(?=^[0-9a-f]{40,64} [0-9]+ [0-9]+)"
+#: (?d): lines end at \n alone, whatever else content and subjects hold.
+HEADER = r"(?dm)(?=^[0-9a-f]{40,64} [0-9]+ [0-9]+)"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,14 +18,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse(texts: DataFrame) -> DataFrame:
     """texts (path, porcelain) -> a row for each line that is not blank: path, line_number (of such lines), content, hash, name,
-    email, epoch, commit_date. The output's trailing white space is lost, as is the carriage return of each line's header."""
+    email, epoch, commit_date. The output's trailing white space is lost; a carriage return at a line's end is content."""
     at = F.posexplode(F.split(S.trimmed(F.col("porcelain")), HEADER)).alias("pos", "record")
-    rows = texts.select("path", at).filter(F.col("record") != "")
-    head = F.regexp_extract("record", r"^([^\t]*?)(?:\n\t|$)", 1)
-    field = lambda name: F.regexp_extract(head, rf"(?m)^{name} (.*?)\r?$", 1)
+    rows = texts.select("path", at).filter(F.col("record") != "").withColumn("parts", F.split("record", "\n\t", 2))
+    head = F.get("parts", 0)
+    field = lambda name: S.trimmed(F.regexp_extract(head, rf"(?dm)^{name} (.*)$", 1))
     rows = rows.select(
-        "path", "pos", F.regexp_extract("record", r"(?s)\n\t(.*?)\r?\n?$", 1).alias("content"), F.regexp_extract("record", "^([0-9a-f]+)", 1).alias("hash"),
-        field("author").alias("name"), S.clean_email(field("author-mail")).alias("email"), F.try_to_number(field("author-time"), F.lit("999999999999")).cast("long").alias("epoch"),
+        "path", "pos", F.substring_index(F.coalesce(F.get("parts", 1), F.lit("")), "\n", 1).alias("content"), F.regexp_extract(head, "^([0-9a-f]+)", 1).alias("hash"),
+        field("author").alias("name"), S.clean_email(field("author-mail")).alias("email"), F.regexp_extract(head, r"(?dm)^author-time (-?[0-9]{1,12})", 1).try_cast("long").alias("epoch"),
     ).filter(~S.is_blank(F.col("content")))
     number = F.row_number().over(Window.partitionBy("path").orderBy("pos"))
     return rows.withColumns({"line_number": number, "commit_date": S.iso_time(F.col("epoch"))}).drop("pos")

@@ -48,7 +48,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, policy: str = "strict") -> Tables:
     """Lines of analyzed files only; authors by e-mail in order of their first line, merged by the policy."""
-    known = classify.classify(files(spark, sf_dir))
+    known = identity.stored(classify.classify(files(spark, sf_dir)))  # read by both what follows and the lines' filter
     named = lines(spark, sf_dir).join(classify.analyzed(known).select("file_id"), "file_id", "left_semi").join(people(spark, sf_dir), "person")
     authors = identity.stored(identity.normalize(identity.upsert(named.select("email", "name", F.struct("file_id", "line", "person").alias("ord"))), policy))
     blame = identity.attributed(named, authors).select("author_id", "file_id", "commit_ts")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,15 +16,40 @@ def drops(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> Data
     return read.load(folder).select(F.url_decode(name).alias("path"), F.col("value").alias("porcelain"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
-def maintain(stream: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame], None]) -> StreamingQuery:
-    """Appends each batch to the Parquet folder store, and calls then() with the newest output of every path so far.
+#: Batches between two compactions.
+EACH = 16
 
-    A batch that runs again after a failure overwrites what it wrote before."""
 
-    def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
-        newest = Window.partitionBy("path").orderBy(F.desc("modified"), F.desc("batch"))
-        held = batch.sparkSession.read.parquet(store)
-        then(held.withColumn("_place", F.row_number().over(newest)).filter("_place = 1").select("path", "porcelain"))
+def newest(held: DataFrame) -> DataFrame:
+    """Of each path, the row written last; texts stay where they are until the choice, of names and times alone, is made."""
+    place = F.struct("modified", "batch")
+    heads = held.groupBy("path").agg(F.max(place).alias("_last"))
+    heads = heads.select(F.col("path").alias("_path"), F.col("_last.modified").alias("_modified"), F.col("_last.batch").alias("_batch"))
+    same = (F.col("path") == F.col("_path")) & F.col("modified").eqNullSafe(F.col("_modified")) & (F.col("batch") == F.col("_batch"))
+    return held.join(heads, same, "left_semi").dropDuplicates(["path"])
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def maintain(stream: DataFrame, store: str, checkpoint: str, then: Callable[[DataFrame], None], each: int = EACH) -> StreamingQuery:
+    """Writes each batch to the Parquet folder store/from=A/batch=N, and calls then() with the newest output of every path so far.
+
+    Every `each` batches the newest outputs become the first of a new folder from=N, from which later batches go on; so a batch
+    reads what lives and `each` batches at most. A folder is read only once its first batch is whole, and a batch that runs again after a failure
+    writes the same again. Folders from before the last compaction but one go."""
+
+    def held_in(spark: SparkSession, start: int) -> DataFrame:
+        batches = spark.read.parquet(f"{store}/from={start}/batches")
+        return batches.unionByName(spark.read.parquet(f"{store}/from={start}/whole")) if start else batches
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, start = batch.sparkSession, number // each * each
+        folder = f"{store}/from={start}"
+        if number == start and start:
+            before = held_in(spark, start - each)
+            newest(before).withColumn("batch", F.lit(start - 1).cast("int")).write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/whole")
+            if start >= 2 * each:
+                old = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/from={start - 2 * each}")
+                old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        batch.write.mode("overwrite").parquet(f"{folder}/batches/batch={number}")
+        then(newest(held_in(spark, start)).select("path", "porcelain"))
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -38,3 +38,31 @@ def test_every_line_has_one_owner(spark):
     assert sorted(r["rank"] for r in got) == [*range(1, len(got) + 1)]
     ids = {r.id: r for r in t.authors.collect()}
     assert all(ids[r.canonical_id].is_canonical for r in ids.values())
+
+
+def test_loose_queries_have_merges_and_idle_authors(spark):
+    ranked = Q.ranked_authors_loose(spark, SF).collect()
+    assert sum(not r.is_canonical for r in ranked) > 30
+    assert any(r.is_canonical and r["rank"] is None and r.percentage == 0 for r in ranked)
+    assert sum(r.canonical_id % 3 == 2 for r in ranked if not r.is_canonical) > 30  # the readable ones
+
+
+def test_numbers_are_those_of_the_order(spark):
+    from heddle.storage import numbered
+
+    rows = numbered(spark.range(1000).selectExpr("id", "id % 7 AS k"), ["k", "id"], "n").collect()
+    assert [r.n for r in sorted(rows, key=lambda r: (r.k, r.id))] == [*range(1, 1001)]
+    assert numbered(spark.range(0), ["id"], "n").count() == 0
+
+
+def test_entry_without_llm(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/heddle", tmp_path / "heddle", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for f in ("__spark_entry__.py", *(["corpus_pipeline.py"] if os.path.exists(f"{root}/corpus_pipeline.py") else [])):
+        shutil.copy(f"{root}/{f}", tmp_path / f)
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert got.stdout.split() == [str(len(Q.QUERIES))] * 2

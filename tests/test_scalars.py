@@ -65,3 +65,18 @@ def test_display(spark):
     assert each(spark, [0.2, 50.0], "double", S.segment_width) == [1, 30]
     assert each(spark, ["legend", "PEASANT", "none"], "string", S.title_index) == [0, 49, -1]
     assert each(spark, [0, 1234567890], "long", S.iso_time) == ["1970-01-01T00:00:00.000Z", "2009-02-13T23:31:30.000Z"]
+
+
+def test_title_range_and_needles(spark):
+    assert spark.range(1).select(S.title_range(1, 2)).first()[0] == ["line breaker", "conqueror"]
+    from heddle.functions.constants import IGNORED_NEEDLES
+
+    paths = [f"a{n}b" for n in IGNORED_NEEDLES] + [f"a{n[:-1]}" for n in IGNORED_NEEDLES if len(n) > 1] + ["", "plain", "x.ts"]
+    got = each(spark, paths, "string", lambda c: c.rlike(S.any_needle(IGNORED_NEEDLES)))
+    assert got == [any(n in p for n in IGNORED_NEEDLES) for p in paths]
+
+
+def test_white_space_is_that_of_scripts(spark):
+    assert each(spark, ["Jörg\xa0Müller", "a\u2003\ufeff b", "a\x85b"], "string", S.clean_name) == ["jörg müller", "a b", "ab"]
+    assert each(spark, ["Jörg\xa0Müller", "a\u3000b.", "Ann\xa0Lee"], "string", S.has_artifacts) == [False, False, True]
+    assert each(spark, ["\xa0\ufeff", "\x85"], "string", S.is_blank) == [True, False]

@@ -1,6 +1,7 @@
 import subprocess
 
 import pytest
+from pyspark.sql import functions as F
 
 from heddle.operators import classify
 from heddle.sources import porcelain
@@ -16,7 +17,7 @@ TEXT = "\n".join([
 def test_porcelain(spark):
     rows = porcelain.parse(spark.createDataFrame([("f", TEXT), ("empty", ""), ("none", None)], "path string, porcelain string")).orderBy("line_number").collect()
     assert [(r.path, r.line_number, r.content, r.hash[0], r["name"], r.email, r.commit_date) for r in rows] == [
-        ("f", 1, "author fake", "a", "Ann", "ann@x.org", "2009-02-13T23:31:30.000Z"), ("f", 2, "\tdeep", "a", "Ann", "ann@x.org", "2009-02-13T23:31:30.000Z"),
+        ("f", 1, "author fake\r", "a", "Ann", "ann@x.org", "2009-02-13T23:31:30.000Z"), ("f", 2, "\tdeep", "a", "Ann", "ann@x.org", "2009-02-13T23:31:30.000Z"),
     ]
 
 
@@ -55,3 +56,39 @@ def test_engine_on_a_repository(spark, repository):
     assert len(e.author_file_contributions(one.id).collect()) == 4 and e.find_canonical_author("test@example.com") == one.id
     assert "Test User" in report.extended(e) and "product.$id" in report.developer(e, "test@example.com")
     assert e.inactive_authors().count() == 0 and [r.id for r in e.all_authors().collect()] == [one.id]
+
+    e.create_views("own_")
+    assert spark.sql("SELECT count(*) AS n FROM own_blame_lines JOIN own_files USING (file_id)").first().n == 11
+    assert spark.sql("SELECT count(*) AS n FROM own_authors").first().n == 1 and spark.table("own_author_aliases").count() == 0
+    e.drop_views("own_")
+    assert not any(t.name.startswith("own_") for t in spark.catalog.listTables())
+    assert e.nth_author(1).first().id == one.id and e.nth_author(2).count() == 0
+    assert tuple(e.developers().first()) == (1, 1)
+    assert report.simple(e).count("Test User") == 1 and report.simple(e, 0).count("Test User") == 0
+
+
+def test_every_file_is_of_one_kind(spark):
+    files = spark.createDataFrame([("a.PNG", 5), ("a.test.ts", 5), ("a.ts", 5), ("b.ts", 10**6), ("c.ts", None), ("d.lock", 10**6)], "path string, size long")
+    known = classify.classify(files)
+    one = classify.repository_stats(known.withColumn("total_lines", F.lit(1)), spark.range(3)).first()
+    assert (one.total_files, one.binary_files, one.ignored_files, one.large_files, one.analyzed_files) == (6, 2, 2, 1, 1)
+    assert one.analyzed_files == one.total_files - one.binary_files - one.ignored_files - one.large_files
+
+
+def test_paths_with_line_breaks(spark, tmp_path):
+    from heddle.plans import engine
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=T", "-c", "user.email=t@x", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "two\nparts.ts").write_text("one\ntwo\n")
+    run("add", "-A")
+    run("commit", "-qm", "a\ttab in the subject")
+    one = engine.Engine.of_git(spark, str(tmp_path)).author_contributions().first()
+    assert (one["name"], one.total_lines) == ("T", 2)
+
+
+def test_command_line(spark, repository, tmp_path, capsys):
+    from heddle.__main__ import main
+
+    assert main([str(tmp_path / "none")]) == 1
+    assert main([repository[0], "--simple"]) == 0 and "Test User" in capsys.readouterr().out

@@ -20,3 +20,14 @@ def test_newest_outputs_count(spark, tmp_path):
     (drop / "b.ts").write_text(record("cy", "x"))
     go()
     assert got == [[("src/a.ts", "ann@x"), ("src/a.ts", "bob@x")], [("b.ts", "cy@x"), ("src/a.ts", "bob@x")]]
+
+
+def test_batches_are_compacted(spark, tmp_path):
+    drop, got = tmp_path / "in", []
+    drop.mkdir()
+    for i in range(7):
+        (drop / f"f{i % 3}#{i}").write_text(record(f"p{i}", "x"))
+        q = ownership.maintain(ownership.drops(spark, str(drop)), str(tmp_path / "store"), str(tmp_path / "ck"), lambda df: got.append(sorted((r.path, r.email) for r in porcelain.parse(df).collect())), each=2)
+        q.awaitTermination()
+    assert got[-1] == [("f0", "p6@x"), ("f1", "p4@x"), ("f2", "p5@x")]
+    assert sorted(f.name for f in (tmp_path / "store").iterdir()) == ["from=4", "from=6"]
