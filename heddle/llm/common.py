@@ -1,41 +1,18 @@
-"""What several operators share: the shared scratch folder, tables written there, and connected components."""
+"""What several operators share: rules of words, connected components, joins with hot keys. Arrow batches are bounded by Spark's own
+spark.sql.execution.arrow.maxBytesPerBatch; no operator changes the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import scratch, written  # noqa: F401
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; a local one where the setting is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="heddle-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/heddle-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage is cut and a lost executor costs no more than a new read."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def batch_rows(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, as texts may be very long; Python workers find this package where the driver does."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,6 +56,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
 
 SALTS = 16
+#: A name that no table has.
+SALT = "_salt_of_heddle"
 
 
 def let(value: Column, body) -> Column:
@@ -91,6 +70,6 @@ def salted_join(rows: DataFrame, few: DataFrame, on: list[str], how: str = "inne
     read rows deal them to SALTS others.
 
     Where few is below spark.sql.autoBroadcastJoinThreshold, Spark broadcasts it and shuffles nothing."""
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    salted = rows.withColumn(SALT, F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    copies = few.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, SALT], how).drop(SALT)

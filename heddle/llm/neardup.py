@@ -4,11 +4,13 @@ A hash rotates a unit vector (three rounds of random signs and a fast Hadamard t
 two) and takes the axis nearest to it, of 2 x dimension. A table joins several hashes into one bucket; each vector is put in
 its probes best buckets of each table. Vectors of one bucket, label and dimension are compared exactly, in double precision.
 
-Equal vectors of a label are one class before that. Buckets of more than block classes are cut into blocks and compared block
-by block in many tasks, so that no task holds a whole bucket and no row is made for a pair: a task adds up links and gives the
-edges of a spanning forest. A pair that shares several buckets counts in the least of them only.
+Equal vectors of a label are one class before that, known by 128 bits of hash. Buckets are first counted without their vectors;
+vectors only go to buckets that two or more classes share, as they came (single precision stays that on the way). Buckets of
+more than block classes are cut into blocks and compared block by block in many tasks, so that no task holds a whole bucket and
+no row is made for a pair: a task adds up links and gives the edges of a spanning forest. A pair that shares several buckets
+counts in the least of them only. A bucket of n classes costs n * n comparisons, as all its links are counted.
 
-Null labels and ids, and vectors that are null, empty, zero or hold null or non-finite components link with nothing (such
+An empty table gives no rows; other columns are not read, whatever their names. Null labels and ids, and vectors that are null, empty, zero or hold null or non-finite components link with nothing (such
 rows are their own component; without an id, null and not kept). Rows of equal id are vectors each. At cosine 0.98 and 64
 dimensions the defaults miss about one pair in ten thousand; tests measure recall against brute force.
 """
@@ -77,29 +79,34 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def bucketed(classes: DataFrame, vectors: bool) -> DataFrame:
-    """(label, dim, key) of each class and bucket, with cid, node, n and v (the vector) if asked for."""
-    kinds = "label long, dim int, key long" + ", cid long, node long, n long, v array<double>" * vectors
-    fields = [c.split()[0] for c in kinds.split(", ")]
+def buckets(x: np.ndarray, label: int) -> np.ndarray:
+    """The same with the label mixed in: 64 bits for each row, table and probe."""
+    mixed = codes(x).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(label % (1 << 64)) * np.uint64(0xD1B54A32D192ED03)
+    mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+
+
+def bucketed(classes: DataFrame) -> DataFrame:
+    """(key, cid, node) of each class and bucket."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes = b.column("dim").to_numpy()
-            for dim in np.unique(sizes):
-                some = b.take(pa.array(np.flatnonzero(sizes == dim)))
-                found = codes(unit(matrix(some.column("v"), dim))).reshape(len(some), -1)
+            kinds = np.stack([b.column("dim").to_numpy().astype(np.int64), b.column("label").to_numpy()])
+            for dim, label in np.unique(kinds, axis=1).T.tolist():
+                some = b.take(pa.array(np.flatnonzero((kinds[0] == dim) & (kinds[1] == label))))
+                found = buckets(unit(matrix(some.column("v"), dim)), label).reshape(len(some), -1)
                 row = pa.array(np.repeat(np.arange(len(some)), found.shape[1]))
-                cols = {"key": pa.array(found.ravel())} | {c: some.column(c).take(row) for c in fields if c != "key"}
-                yield pa.RecordBatch.from_arrays([cols[c] for c in fields], fields)
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), some.column("cid").take(row), some.column("node").take(row)], ["key", "cid", "node"])
 
-    return classes.select("label", "dim", "cid", "node", "n", "v").mapInArrow(of, kinds)
+    return classes.select("label", "dim", "cid", "node", "v").mapInArrow(of, "key long, cid long, node long")
 
 
 class Block:
     """Compares the rows of groups that came together; links() gives what they add."""
 
-    def __init__(self, dim: int, threshold: float):
-        self.dim, self.threshold = dim, threshold
+    def __init__(self, label: int, threshold: float):
+        self.label, self.threshold = label, threshold
         self.rows: list[np.ndarray] = []
         self.pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
@@ -125,13 +132,14 @@ class Block:
         x, y, key = map(np.concatenate, zip(*self.pairs))
         used, back = np.unique(np.concatenate([x, y]), return_inverse=True)
         x, y = back[: len(x)], back[len(x) :]
-        code = codes(np.concatenate(self.rows)[used])
-        first = np.full(len(x), np.iinfo(np.int64).max)
+        code = buckets(np.concatenate(self.rows)[used], self.label)
+        most = np.iinfo(np.int64).max
+        first = np.full(len(x), most)
         for t in reversed(range(TABLES)):  # the least common bucket, tables in order
+            least = np.full(len(x), most)
             for i, j in itertools.product(range(code.shape[2]), repeat=2):
-                p, q = code[x, t, i], code[y, t, j]
-                same = p == q
-                first = np.where(same & ((first % TABLES != t) | (p < first)), p, first)
+                least = np.minimum(least, np.where(code[x, t, i] == code[y, t, j], code[x, t, i], most))
+            first = np.where(least < most, least, first)
         own = first == key
         x, y = x[own], y[own]
         got = np.bincount(x, n[used[y]], len(used)) + np.bincount(y, n[used[x]], len(used))
@@ -163,8 +171,9 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
         cid, node = b.column("cid").to_numpy(), b.column("node").to_numpy()
         out: list[list[np.ndarray]] = [[], [], [], []]
         many = ends - starts > 1
-        for dim in np.unique(g[1, starts[many]]):
-            work, took = Block(int(dim), threshold), []
+        for label, dim in np.unique(g[:2, starts[many]], axis=1).T.tolist():
+            work, took = Block(label, threshold), []
+            own = many & (g[0, starts] == label) & (g[1, starts] == dim)
 
             def flush() -> None:
                 at = np.concatenate(took)
@@ -173,14 +182,14 @@ def compared(rows: DataFrame, threshold: float) -> DataFrame:
                     o.append(v)
 
             pairs = 0
-            for s, e in zip(starts[many & (g[1, starts] == dim)], ends[many & (g[1, starts] == dim)]):
-                v = unit(matrix(b.column("v").slice(s, e - s), int(dim)))
+            for s, e in zip(starts[own], ends[own]):
+                v = unit(matrix(b.column("v").slice(s, e - s), dim))
                 one = g[3, s] == g[4, s]
                 pairs += work.compare(int(g[2, s]), v, np.flatnonzero(block[s:e] == g[3, s]), None if one else np.flatnonzero(block[s:e] == g[4, s]))
                 took.append(np.arange(s, e))
                 if pairs > 200_000:
                     flush()
-                    work, took, pairs = Block(int(dim), threshold), [], 0
+                    work, took, pairs = Block(label, threshold), [], 0
             if took:
                 flush()
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else np.zeros(0, np.int64)) for o in out], ["cid", "node", "links", "other"])
@@ -218,15 +227,17 @@ def usable(label: Column, v: Column) -> Column:
 
 def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = 0.98, block: int = 512) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors."""
-    v, lab = F.col(embedding).cast("array<double>"), F.col(label).cast("long")
+    v, lab = F.col(embedding), F.col(label).cast("long")
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"), lab.alias("label"))
-    own = own.withColumn("cid", F.when(F.col("vec_id").isNotNull() & usable(F.col("label"), F.col("v")), F.xxhash64("label", "v")))
-    classes = own.filter("cid is not null").groupBy("label", "v", "cid").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
+    fine = F.col("vec_id").isNotNull() & usable(F.col("label"), F.col("v"))
+    own = own.withColumns({"cid": F.when(fine, F.xxhash64("label", "v")), "cid2": F.when(fine, F.xxhash64(F.lit("second"), "label", "v"))})
+    classes = own.filter("cid is not null").groupBy("label", "v", "cid", "cid2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n"))
     classes = written(classes.withColumn("dim", F.size("v")))
-    hot = bucketed(classes, False).groupBy("label", "dim", "key").count().filter(F.col("count") > block)
-    hot = written(hot.select("label", "dim", "key", F.ceil(F.col("count") / block).cast("int").alias("g")))
-    rows = salted_join(bucketed(classes, True), hot, ["label", "dim", "key"], "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    narrow = written(bucketed(classes))
+    shared = narrow.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / block).cast("int").alias("g"))
+    rows = salted_join(narrow, shared, ["key"])
     rows = rows.withColumn("block", F.pmod(F.xxhash64("cid", "node"), F.col("g")).cast("int"))
+    rows = rows.join(classes.select("cid", "node", "label", "dim", "n", "v"), ["cid", "node"])
     rows = rows.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("label", "dim", "key", F.least("block", "_with").alias("bi"), F.greatest("block", "_with").alias("bj"), "block", "cid", "node", "n", "v")
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -234,8 +245,20 @@ def linked(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     found = written(compared(rows, threshold))
     sums = found.groupBy("cid", "node").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    out = classes.select("cid", "node", "label", "v", "n").join(sums, ["cid", "node"], "left").join(parts, "node", "left")
-    out = out.select("cid", F.col("v").alias("_v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = own.select("vec_id", "v", "cid").join(out, "cid", "left").filter("cid is null or v = _v")
+    out = classes.select("cid", "cid2", "node", "n").join(sums, ["cid", "node"], "left").join(parts, "node", "left")
+    out = out.select("cid", "cid2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    out = own.select("vec_id", "cid", "cid2").join(out, ["cid", "cid2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= CAST(0.98 AS DOUBLE)),
+r AS (SELECT vec_id AS id, vec_id AS reach FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT id AS vec_id, (SELECT count(*) FROM l WHERE l.a = id) AS n_links, component_id, id = component_id AS kept FROM c
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, licenses, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
-from .common import batch_rows, scratch, table
+from .common import scratch, table
 
 
 def tokenizer_path() -> str:
@@ -24,15 +24,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 500)
     path = scratch(spark)
     tokenfile.write(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
-    batch_rows(spark, 4)  # of blocks
     return tokenfile.read(spark, path, ids=False)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 500)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = bpe.decode(bpe.encode(docs, tokenizer_path()), tokenizer_path())
     return both.select(
@@ -44,7 +41,6 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 1000)
     return licenses.scan(table(spark, sf_dir, "documents"), best=True)
 
 
@@ -58,7 +54,6 @@ def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 2000)
     return neardup.linked(table(spark, sf_dir, "embeddings"))
 
 
@@ -68,7 +63,6 @@ def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batch_rows(spark, 500)
     out = simhash.components_of(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -79,4 +73,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op4_licenses, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets)}
-ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op8_linededup": linededup.ORACLE}
+ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op7_neardup": neardup.ORACLE, "op8_linededup": linededup.ORACLE}

@@ -72,3 +72,26 @@ def test_recall_at_the_threshold():
 
 def test_empty_table(spark):
     assert N.linked(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_query_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    from heddle.llm import queries
+
+    rows = [r for r in vectors(seed=4) if r[0] is not None]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    sql = con.sql(queries.ORACLES["op7_neardup"])
+    got = queries.op7_neardup(spark, str(tmp_path))
+    columns = sorted(got.columns)
+    assert sorted(sql.columns) == columns
+    assert Counter(map(tuple, got.select(*columns).collect())) == Counter(sql.select(*columns).fetchall())
+    assert sum(r.n_links > 0 for r in got.collect()) > 100
+
+
+def test_double_precision_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 1, 5), (2, [1.0, 1e-9], 1, 6), (3, [0.0, 1.0], 1, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int").withColumns({"key": N.F.lit(1), "cid": N.F.lit(2), "n": N.F.lit(3)})
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in N.linked(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
