@@ -68,7 +68,8 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(secrets.made_findings(spark)), path="source")
+    words = secrets.dictionary(tokenizer_path())
+    out = secrets.scan(table(spark, sf_dir, "documents"), secrets.trained(secrets.made_findings(spark), words), words, path="source")
     return out.select("doc_id", "start", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "probability", "is_secret")
 
 

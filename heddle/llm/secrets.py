@@ -1,17 +1,24 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest (operator 10); DataFrame functions only.
 
 Candidates of a whole text are values assigned to a name with a word such as token or password, passwords in URLs, text after
-"bearer", long strings that mix in digits or both cases, and PEM private keys. Their features are length, transitions between character classes, distinct characters, coverage by dictionary
-words, the path (a column, if given) and the words before and after. The forest is trained from labelled findings, a table
-(candidate, before, after, path, label); made_findings() makes such a table of `rows` rows (a parameter) from a seed.
-
-Null and empty texts have no candidates; null paths are empty; each row of docs counts for itself. Offsets are code points.
+"bearer", long strings that mix in digits or both cases, and PEM private keys. Their features are length, transitions between
+character classes, distinct characters, coverage by the words of a dictionary, the path (a column, if given) and the words before
+and after. The dictionary is the whole words of a tokenizer's vocabulary file, whose path is a parameter. The forest is trained
+from labelled findings, a table (candidate, before, after, path, label); made_findings() makes such a table of `rows` rows (a
+parameter) from a seed.
+
+Null and empty texts have no candidates; an empty table gives no rows; null paths are empty; each row of docs counts for itself.
+Very long texts and candidates are read whole. Where candidates could begin at one place the first kind listed in CANDIDATE wins; those that overlap
+go from left to right. Columns that aren't asked for are not read, whatever their names. Offsets are code points from 0.
 """
 
 from __future__ import annotations
 
+import json
 import random
+import re
 import string
+from collections.abc import Iterable
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -19,6 +26,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import any_needle
+
 NAMES = r"(?i:password|passwd|passphrase|pwd|(?<![a-z])pass|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential)"
 SIGN = r"[A-Za-z0-9_-]{0,12}[\"']?[ ]{0,2}(?:=>|[=:])[ ]{0,2}[\"']?"
 ASSIGNED = rf"(?<=[=:> \"'])(?!>)(?<={NAMES}{SIGN})[^\s\"'=:,;]{{6,}}+"
@@ -34,10 +43,20 @@ CANDIDATE = f"{PEM}|{URL}|{BEARER}|{ASSIGNED}|{MIXED}|{CASES}"
 GATE = rf"{NAMES}{SIGN}|://[^\s/@:]{{0,64}}:|(?i:bearer) |[A-Za-z0-9+/_=-]{{16}}|-----BEGIN "
 AROUND = 48
 
-#: Words of placeholders, code and prose that random strings do not hold.
-DICTIONARY = ("about", "access", "admin", "after", "alpha", "another", "build", "change", "check", "class", "client", "code", "commit", "config", "data", "default", "demo", "dummy", "example", "false", "fake", "file", "from", "function", "hash", "here", "image", "index", "insert", "into", "key", "local", "main", "message", "name", "none", "null", "object", "other", "page", "password", "path", "placeholder", "please", "public", "redacted", "release", "replace", "request", "result", "sample", "secret", "server", "some", "source", "string", "table", "test", "that", "the", "this", "token", "true", "user", "value", "version", "view", "with", "your")
-NEAR = {"named": NAMES, "hashes": r"(?i:commit|checksum|sha-?[0-9]|md5|digest|etag|uuid|integrity|revision|build)", "shown": r"(?i:example|sample|dummy|placeholder|fake|replace)", "spoken": r"(?i:bearer|authorization|export|credential|login)"}
-CLASSES = {"l": "a-z", "u": "A-Z", "d": "0-9", "o": "^a-zA-Z0-9"}
+NEAR = {
+    "named": NAMES,
+    "hashes": r"(?i:commit|checksum|sha-?[0-9]|md5|digest|etag|uuid|integrity|revision|build)",
+    "shown": r"(?i:example|sample|dummy|placeholder|fake|replace|test|such as|for instance)",
+    "spoken": r"(?i:bearer|authorization|export|credential|login|sign in|confidential|do not share|rotate|expires|production)",
+}
+TEST_PATH, LIVE_PATH = r"(?i)test|example|sample|doc|fixture|mock", r"(?i)\.env|secret|config|settings|deploy|prod|credential"
+
+
+def dictionary(vocabulary: str, least: int = 5) -> list[str]:
+    """The words of ASCII letters, of at least so many, in a tokenizer file whose whole words end in </w>: some 20,000."""
+    with open(vocabulary, encoding="utf-8") as f:
+        own = json.load(f)["model"]["vocab"]
+    return sorted({m[1] for k in own if (m := re.fullmatch(rf"([a-z]{{{least},}})</w>", k))})
 
 
 def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -57,13 +76,13 @@ def candidates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", path
     return rows.select("doc_id", "path", F.explode(few).alias("x")).select("doc_id", "x.*", "path")
 
 
-def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
-    """found with one double column for each feature, and their names."""
+def features(found: DataFrame, words: Iterable[str]) -> tuple[DataFrame, list[str]]:
+    """found with one double column for each feature, and their names. words: of the dictionary."""
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.greatest(F.length(c), F.lit(1)).cast("double")
     kinds = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[^a-zA-Z0-9]", "-"), "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "d")
     kinds = F.translate(kinds, "-", "o")
-    out = {"f_length": F.least(n, F.lit(400.0)), "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / n}
+    out = {"f_length": n, "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / n}
     found = found.withColumn("_kinds", kinds)
     for a in "lUdo":
         out[f"f_{a}"] = (n - F.length(F.replace("_kinds", F.lit(a), F.lit("")))) / n
@@ -72,28 +91,38 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
                 out[f"f_{a}{b}"] = F.regexp_count("_kinds", F.lit(f"{a}(?={b})")) / n
     out["f_runs"] = (n - F.length(F.regexp_replace(c, r"(.)\1+", "$1"))) / n
     out["f_hex"] = c.rlike("^[0-9a-fA-F-]+$").cast("double")
-    out["f_words"] = (n - F.length(F.regexp_replace(low, "|".join(DICTIONARY), ""))) / n
+    out["f_words"] = (n - F.length(F.regexp_replace(low, any_needle(words), ""))) / n
     out["f_vowels"] = F.regexp_count(low, F.lit("[aeiou]")) / n
     out["f_pem"] = c.startswith("-----BEGIN").cast("double")
-    for name, words in NEAR.items():
-        out[f"f_before_{name}"] = F.col("before").rlike(words).cast("double")
-        out[f"f_after_{name}"] = F.col("after").rlike(words).cast("double")
+    out["f_digest"] = c.rlike("^sha[0-9]{1,3}[-:]").cast("double")
+    out["f_constant"] = c.rlike("^[A-Z_]{4,}=").cast("double")
+    out["f_call"] = c.rlike(r"^[$<{(]|[(\[{]").cast("double")
+    for name, near in NEAR.items():
+        out[f"f_before_{name}"] = F.col("before").rlike(near).cast("double")
+        out[f"f_after_{name}"] = F.col("after").rlike(near).cast("double")
     out["f_assigned"] = F.col("before").rlike(rf"{NAMES}{SIGN}$").cast("double")
-    out["f_path_test"] = F.col("path").rlike(r"(?i)test|example|sample|doc|fixture|mock").cast("double")
+    out["f_url"] = F.col("before").rlike(r"://[^\s/@:]{0,64}:$").cast("double")
+    out["f_bearer"] = F.col("before").rlike(r"(?i:bearer) {1,2}$").cast("double")
+    out["f_path_test"] = F.col("path").rlike(TEST_PATH).cast("double")
+    out["f_path_live"] = F.col("path").rlike(LIVE_PATH).cast("double")
     return found.withColumns({k: v.cast("double") for k, v in out.items()}).drop("_kinds"), [*out]
 
 
-def trained(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 17) -> RandomForestClassificationModel:
+def trained(findings: DataFrame, words: Iterable[str], trees: int = 40, depth: int = 9, seed: int = 17) -> RandomForestClassificationModel:
     """findings: (candidate, before, after, path, label 0/1); nulls count as empty."""
-    rows, names = features(findings.fillna("", ["candidate", "before", "after", "path"]))
+    rows, names = features(findings.fillna("", ["candidate", "before", "after", "path"]), words)
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows).select("features", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, maxMemoryInMB=64).fit(rows)
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, threshold: float = 0.5, **columns) -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, words: Iterable[str], threshold: float = 0.5, **columns) -> DataFrame:
     """(doc_id, start, candidate, before, after, path, probability, is_secret), a row a candidate."""
-    found = candidates(docs, **columns)
-    rows, names = features(found)
+    return judged(candidates(docs, **columns), model, words, threshold)
+
+
+def judged(found: DataFrame, model: RandomForestClassificationModel, words: Iterable[str], threshold: float = 0.5) -> DataFrame:
+    """candidates() with probability and is_secret."""
+    rows, names = features(found, words)
     rows = model.transform(VectorAssembler(inputCols=names, outputCol="features").transform(rows))
     rows = rows.withColumn("probability", vector_to_array("probability")[1])
     return rows.select(*found.columns, "probability", (F.col("probability") >= threshold).alias("is_secret"))
@@ -107,40 +136,88 @@ def redacted(docs: DataFrame, secrets: DataFrame, text: str = "text", doc_id: st
     return out.withColumn(text, clean).drop("_of", "_secrets")
 
 
-def made_findings(spark: SparkSession, rows: int = 3000, seed: int = 17) -> DataFrame:
-    """Labelled findings: keys of several makes in code and prose, against placeholders, digests, numbers, names and paths."""
+#: Words of the made findings' prose.
+PROSE = "the of and to in that is was for with as on by at from this which or have not are be an it their when after before over each some more new also only into two time way work part place case week point number group problem fact".split()
+
+
+def made_findings(spark: SparkSession, rows: int = 4000, seed: int = 17) -> DataFrame:
+    """Labelled findings: keys of several makes in code, URLs, headers and prose, against placeholders, digests, numbers, names, calls
+    and paths. Paths and the words around lean to a label without deciding it."""
     r = random.Random(seed)
     of = lambda letters, low, high: "".join(r.choices(letters, k=r.randint(low, high)))
-    word = lambda: of("etaoinshrdlu", 2, 8)
-    prose = lambda: " ".join(word() for _ in range(r.randint(0, 8)))
-    hexa, b62, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
-    name = lambda: r.choice(["password", "passwd", "pwd", "secret", "token", "api_key", "API_KEY", "access_key", "credential", "client_secret", "auth_key"])
-    sign = lambda: r.choice([" = \"", "=", ": ", ": \"", " = '", ":"])
+    some = lambda *xs: r.choice(xs)
+    prose = lambda: " ".join(r.choices(PROSE, k=r.randint(0, 7)))
+    word = lambda: some(*PROSE, of("etaoinshrdlu", 3, 8))
+    upper, digits, letters = string.ascii_uppercase, string.digits, string.ascii_letters
+    hexa, b62 = digits + "abcdef", letters + digits
+    name = lambda: some("", "", "db_", "aws_", "MY_", "client-") + some("password", "passwd", "pwd", "secret", "token", "api_key", "API_KEY", "access_key", "credential", "auth_key", "SECRET_KEY", "passphrase", "private_key")
+    sign = lambda: some(" = \"", "=", ": ", ": \"", " = '", ":", " => '", "\": \"")
+    live, tests = ("conf/settings.yml", ".env", "deploy/prod.tf", "app/config.py", "secrets/values.yaml"), ("tests/fixtures/x.json", "docs/example.md", "test_login.py", "samples/readme.md", "mock/server.js")
+    neutral = ("", "", "", "src0", "src7", "src/app.py", "lib/client.js")
+    key = lambda: some(of(hexa, 32, 64), of(b62, 20, 48), of(b62 + "+/", 24, 88), of(b62 + "-_", 22, 44))
+    made = lambda: some("AKIA" + of(upper + digits, 16, 16), "ghp_" + of(b62, 36, 36), "xoxb-" + of(digits, 12, 12) + "-" + of(b62, 24, 24), "sk_live_" + of(b62, 24, 24), "AIza" + of(b62 + "-_", 35, 35))
+    human = lambda: some(of(b62 + "!#$%*", 8, 16), word() + of(digits, 1, 4) + of("!#$%", 0, 2), word().title() + word() + of(digits, 2, 4), of(letters, 12, 20))
+    jwt = lambda: "eyJ" + of(b62, 17, 30) + ".eyJ" + of(b62, 30, 60) + "." + of(b62 + "-_", 43, 43)
+
+    constant = lambda: "_".join(word().upper() for _ in range(r.randint(2, 4)))
+
+    def secret() -> tuple[str, str, str]:
+        kind = r.randrange(9)
+        if kind == 0:
+            return made(), some(" ", f" {name()}{sign()}", " login ", " "), ""
+        if kind == 1:
+            return human(), f" {some('postgres', 'https', 'amqp', 'mysql', 'redis')}://{word()}:", f"@{word()}.{word()}.net/{word()}"
+        if kind == 2:
+            return some(jwt(), key()), some(" Authorization: Bearer ", " authorization: bearer ", " -H 'Authorization: Bearer "), some("", "'", '"')
+        if kind == 3:
+            return f"-----BEGIN {some('', 'RSA ', 'EC ', 'OPENSSH ')}PRIVATE KEY-----", some(" ", "\n", f" {name()}{sign()}"), "\nMII" + of(b62, 30, 40)
+        if kind == 4:
+            return human(), f" {name()}{sign()}", some('"', "'", "", "\n")
+        if kind == 5:
+            return of(letters, 16, 40), some(f" {name()}{sign()}", " key ", " login with "), some('"', "")
+        return key(), f" {name()}{sign()}" if r.random() < 0.9 else some(" export X=", " sign in with ", " "), some('"', "'", "")
+
+    def other() -> tuple[str, str, str]:
+        kind = r.randrange(10)
+        if kind == 9:
+            return f"{constant()}={word()}{word()}", some(" ", " export ", " set "), some("", "/", ":")
+        if kind == 0:
+            holder = some("your_token_here", "example-secret", "changeme", "x" * r.randint(8, 30), "*" * r.randint(8, 20), "test_password", "<redacted>", "placeholder1234567", "sample-value-0001", "insert_your_key_here", "REPLACE_ME", "my-secret-token", "00000000000000000000", "1234567890abcdef", "password123")
+            return holder, some(f" {name()}{sign()}", f" {name()}{sign()}", f" example: {name()}{sign()}"), some("", '"', " # replace")
+        if kind == 1:
+            digest = some(of(hexa, 40, 40), of(hexa, 32, 32), of(hexa, 64, 64), "-".join([of(hexa, 8, 8), *(of(hexa, 4, 4) for _ in range(3)), of(hexa, 12, 12)]), some("sha256-", "sha384-", "sha512-") + of(b62 + "+/", 43, 86))
+            return digest, some(" commit ", " sha256: ", " md5 ", " etag=", " uuid ", " checksum ", " revision ", " build ", ' integrity="'), some("", " of the build", " is the digest")
+        if kind == 2:
+            return some(of(digits, 16, 24), of(digits + "-", 16, 24), "20" + of(digits, 12, 14)), some(" ", " number ", " id "), ""
+        if kind == 3:
+            return some("_", "-").join([word() for _ in range(r.randint(3, 5))] + [of(digits, 1, 4)]), some(" ", " see ", " the file "), ""
+        if kind == 4:
+            return "/".join([word() for _ in range(r.randint(3, 6))] + [word() + of(digits, 1, 3)]), some(" ", " in ", " src="), ""
+        if kind == 5:
+            return some("os.environ[X]", "getpass()", "${PASSWORD}", "$TOKEN", f"${{{constant()}}}", f"${constant()}", f"<{word()}-{word()}-key>", "user.password", "settings.SECRET", "config.get(", "process.env.KEY", "{{token}}", "None;", "string;", "required", word() + word()), f" {name()}{sign()}", some("", ")", '"')
+        if kind == 6:
+            return some("password", "secret", "passwd", "<password>", "hunter", "yourpassword"), f" {some('https', 'postgres')}://{some('user', 'username', 'name')}:", "@localhost/example"
+        if kind == 7:
+            return some("certificates", "authentication", "of-the-ring", "instruments", word() + word() + word()), some(" the bearer ", " Bearer ", " bearer "), ""
+        if r.random() < 0.4:  # a long word, as some languages have
+            return "".join(of("etaoinshrdlu", 2, 5) for _ in range(r.randint(4, 8))).title().ljust(16, "e"), some(" ", ". "), some("", ".", ",")
+        return "".join(w.title() for w in r.choices(PROSE, k=r.randint(4, 7))) + some("", of(digits, 1, 2)), some(" ", " class ", " call "), some("(", "", ".java")
+
     out = []
     for _ in range(rows):
-        before, after, path, label = prose(), prose(), r.choice(["", "", "src0", "src7", "src/app.py", "conf/settings.yml", "tests/fixtures/x.json", "docs/example.md"]), r.random() < 0.5
-        if label:
-            value = r.choice([lambda: of(hexa, 32, 64), lambda: of(b62, 20, 48), lambda: of(b64, 24, 88), lambda: "AKIA" + of(string.ascii_uppercase + string.digits, 16, 16), lambda: "ghp_" + of(b62, 36, 36), lambda: of(b62 + "!#$%", 8, 16), lambda: "-----BEGIN " + r.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----"])()
-            if not value.startswith(("AKIA", "ghp_", "-----")) or r.random() < 0.5:
-                before += f" {name()}{sign()}" if r.random() < 0.9 or len(value) < 20 else r.choice([" bearer ", " export X=", " login "])
+        label = r.random() < 0.5
+        value, before, after = secret() if label else other()
+        shown = not label and r.random() < 0.15
+        if shown:  # a key such as the real ones, said to be none or kept for tests
+            value, before, after = secret()
+        path = r.choice(live if label else tests) if r.random() < (0.9 if shown else 0.3) else r.choice(neutral) if r.random() < 0.8 else r.choice(live + tests)
+        before, after = prose() + before, after + " " + prose()
+        if shown or r.random() < 0.05:
             if r.random() < 0.5:
-                after = '" ' + after
-        else:
-            kind = r.randrange(6)
-            if kind == 0:  # placeholders and plain words
-                value = r.choice(["your_token_here", "example-secret", "changeme", "xxxxxxxxxxxxxxxx", "test_password", "<redacted>", "placeholder1234567", "sample-value-0001", "insert_your_key_here", "none_none", of("x*0", 8, 30), word() + word() + word()])
-                before += f" {name()}{sign()}"
-            elif kind == 1:  # digests and ids
-                value = r.choice([of(hexa, 40, 40), of(hexa, 32, 32), "-".join([of(hexa, 8, 8), *(of(hexa, 4, 4) for _ in range(3)), of(hexa, 12, 12)])])
-                before += r.choice([" commit ", " sha256: ", " md5 ", " etag=", " uuid ", " checksum ", " revision "])
-            elif kind == 2:  # numbers
-                value = r.choice([of("0123456789", 16, 24), of("0123456789-", 16, 24)])
-            elif kind == 3:  # names with digits
-                value = r.choice(["_", "-"]).join([word() for _ in range(r.randint(2, 5))] + [of("0123456789", 1, 4)])
-            elif kind == 4:  # paths
-                value = "/".join([word() for _ in range(r.randint(3, 6))] + [word() + of("0123456789", 1, 3)])
-            else:  # values that are calls or words
-                value = r.choice(["os.environ[X]", "getpass()", "function()", "user.password", "settings.SECRET", word() + word(), "argument"])
-                before += f" {name()}{sign()}"
+                before = some("for example", "a sample", "dummy") + before
+            else:
+                after += some(" is an example", " is fake", " replace this")
+        elif r.random() < (0.25 if label else 0.05):
+            after += some(" do not share", " expires soon", " rotate it", " confidential", " in production")
         out.append((value, before[-AROUND:], after[:AROUND], path, int(label)))
     return spark.createDataFrame(out, "candidate string, before string, after string, path string, label int")
