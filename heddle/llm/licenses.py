@@ -6,7 +6,7 @@ window that holds a share `containment` of the template has a Jaccard similarity
 number of bands follows: a collision has at least the probability `sure`. Each collision is verified on the window and a
 quarter of its length around it: matched shingles of the template by all of them. Overlapping matches of a template are one.
 
-Templates are a parameter, MOST at most; their bands go to every task. Nothing is shuffled; texts are read whole, in blocks of
+An empty table gives no rows; other columns are not read, whatever their names. Templates are a parameter, MOST at most; their bands go to every task. Nothing is shuffled; texts are read whole, in blocks of
 bounded size. Null and empty texts match nothing; a template without words is refused; each row of docs counts for itself.
 """
 
@@ -89,23 +89,34 @@ def bands_for(s: int, stride: int, containment: float, sure: float) -> int:
     return 1 if least >= 1 else math.ceil(math.log(1 - sure) / math.log(1 - least**ROWS))
 
 
-def sliding_min(x: np.ndarray, s: int) -> np.ndarray:
-    """Of each window of s, shorter at the end."""
+def sliding_min(x: np.ndarray, s: int, alike: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Of each window of s, shorter at the end of its text. alike: by distance, which places lie in one text with that so far on."""
     out, have = x, 1
     while have < s:
         step = min(have, s - have)
         nxt = out.copy()
         if step < len(out):
-            np.minimum(out[:-step], out[step:], out=nxt[:-step])
+            far = out[step:] if alike is None else np.where(alike[step], out[step:], TOP)
+            np.minimum(out[:-step], far, out=nxt[:-step])
         out, have = nxt, have + step
     return out
 
 
+def distances(s: int) -> list[int]:
+    """That sliding_min() looks at."""
+    out, have = [], 1
+    while have < s:
+        out.append(min(have, s - have))
+        have += out[-1]
+    return out
+
+
 class Index:
     """The templates' bands, by class: shingle width and count."""
 
     def __init__(self, templates: Mapping[str, str], containment: float, sure: float):
-        assert len(templates) <= MOST, f"more than {MOST} templates"
+        if len(templates) > MOST:
+            raise ValueError(f"more than {MOST} templates: scan for them in parts")
         self.containment, self.hashes = containment, _Hashes()
         seeds = np.random.default_rng(23)
         self.seeds = [(np.uint64(a | 1), np.uint64(b)) for a, b in seeds.integers(0, 1 << 63, (4096, 2), dtype=np.uint64).tolist()]
@@ -114,14 +125,16 @@ class Index:
         by_class = defaultdict(list)
         for name, text in templates.items():
             w = words_of(text)
-            assert w, f"template {name} has no words"
+            if not w:
+                raise ValueError(f"template {name} has no words")
             width = min(WIDTH, len(w))
             self.sets[name] = np.unique(shingles(self.of(w), width))
             by_class[width, len(w) - width + 1].append(name)
         for (width, s), names in by_class.items():
             stride = max(1, s // 8) if s >= 16 else 1
             n = bands_for(s, stride, containment, sure)
-            assert n * ROWS <= len(self.seeds)
+            if n * ROWS > len(self.seeds):
+                raise ValueError("a lower containment than the seeds allow for")
             tables: list[dict[int, list[str]]] = [defaultdict(list) for _ in range(n)]
             for name in names:
                 for table, key in zip(tables, self.bands(self.sets[name], len(self.sets[name]), n)):
@@ -132,7 +145,7 @@ class Index:
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
-    def bands(self, x: np.ndarray, s: int, n: int, live: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    def bands(self, x: np.ndarray, s: int, n: int, live: np.ndarray | None = None, alike: dict[int, np.ndarray] | None = None) -> Iterator[np.ndarray]:
         """n keys of each window of s shingles, one array after another."""
         for k in range(n):
             key = np.zeros(len(x), np.uint64)
@@ -142,34 +155,41 @@ class Index:
                 p ^= p >> np.uint64(32)
                 if live is not None:
                     p[~live] = TOP
-                key = (key ^ sliding_min(p, s)) * np.uint64(0xBF58476D1CE4E5B9)
+                key = (key ^ sliding_min(p, s, alike)) * np.uint64(0xBF58476D1CE4E5B9)
             yield key
 
     def found(self, texts: list[str]) -> Iterator[tuple[int, str, int, int, float]]:
-        """(text's place, template, first word, last word + 1, share matched) of each match, texts being read as one stream."""
+        """(text's place, template, first word, last word + 1, share matched) of each match. Texts are read as one stream, but windows
+        begin at multiples of their class's stride from a text's begin and end with it, so that a match depends on its text alone."""
         words = [words_of(t) for t in texts]
         ends = np.cumsum([len(w) for w in words])
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
         h = self.of([x for w in words for x in w])
         spans: dict[tuple[int, str], list[tuple[int, int, float]]] = defaultdict(list)
         for begin in range(0, len(h), BLOCK):
-            part = h[begin : begin + BLOCK + 2 * self.longest]
-            owner = np.searchsorted(ends, np.arange(begin, begin + len(part)), side="right")
+            lead = min(begin, self.longest)  # what lies around the block's windows
+            first = begin - lead
+            part = h[first : begin + BLOCK + 2 * self.longest]
+            owner = np.searchsorted(ends, np.arange(first, first + len(part)), side="right")
             for (width, s), (stride, n, tables) in self.classes.items():
                 x = shingles(part, width)
                 if not len(x):
                     continue
                 live = owner[: len(x)] == owner[width - 1 :]
-                at = np.arange(0, len(x), stride)
+                own = owner[: len(x)]
+                place = np.arange(len(x))
+                at = np.flatnonzero(((first + place - begins[own]) % stride == 0) & (place >= lead) & (place < lead + BLOCK))
+                alike = {d: own[:-d] == own[d:] for d in distances(s) if d < len(x)}
                 hits = set()
-                for key, table in zip(self.bands(x, s, n, live), tables):
+                for key, table in zip(self.bands(x, s, n, live, alike), tables):
                     keys = key[at]
                     for i in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))):
                         hits |= {(int(at[i]), name) for name in table[int(keys[i])]}
                 for start, name in sorted(hits):
                     if m := self.verified(x, live, owner, start, s, name):
-                        doc, first, last, share = m
-                        base = begin - (int(ends[doc - 1]) if doc else 0)
-                        spans[doc, name].append((base + first, base + last + width, share))
+                        doc, low, high, share = m
+                        base = first - int(begins[doc])
+                        spans[doc, name].append((base + low, base + high + width, share))
         for (doc, name), some in sorted(spans.items()):
             some.sort()
             first, last, share = some[0]
@@ -190,14 +210,10 @@ class Index:
         return sorted(x for some in chosen.values() for x in some)
 
     def verified(self, x: np.ndarray, live: np.ndarray, owner: np.ndarray, start: int, s: int, name: str) -> tuple[int, int, int, float] | None:
-        """The exact share in and around the window, within the text in which the window's first shared shingle lies."""
-        low, high = max(0, start - s // 4), start + s + s // 4
+        """The exact share in the window and a quarter of its length around it, within its text."""
+        low, high, doc = max(0, start - s // 4), start + s + s // 4, owner[start]
         own = self.sets[name]
         same = np.isin(x[low:high], own) & live[low:high]
-        inside = np.flatnonzero(same[start - low : start - low + s])
-        if not len(inside):
-            return None
-        doc = owner[start + inside[0]]
         at = low + np.flatnonzero(same & (owner[low : low + len(same)] == doc))
         share = len(np.unique(x[at])) / len(own)
         return (int(doc), int(at[0]), int(at[-1]), share) if share >= self.containment else None

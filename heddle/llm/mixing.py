@@ -103,11 +103,11 @@ def plan(docs: DataFrame, tree: Mapping[str, Column], budget: float = 1.0, weigh
 def mixed(docs: DataFrame, tree: Mapping[str, Column], seed: int = 7, **how) -> DataFrame:
     """docs' rows as often as they are taken, with _epoch (0 first) and the tree's columns as _t_<column>."""
     names = [f"_t_{k}" for k in tree]
-    rows = salted_join(named(docs, tree), plan(docs, tree, seed=seed, **how).withColumnsRenamed({"epochs": "_epochs", "cut": "_cut"}), names)
-    more = F.col("_cut").isNotNull() & (order_key(seed, F.col("_epochs"), F.col("doc_id")) <= F.col("_cut"))
-    times = F.col("_epochs") + F.when(more, 1).otherwise(0)
-    rows = rows.withColumn("_times", times).filter("_times > 0")
-    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_times") - 1))).drop("_times", "_epochs", "_cut")
+    rows = salted_join(named(docs, tree), plan(docs, tree, seed=seed, **how).withColumnsRenamed({"epochs": "_heddle_epochs", "cut": "_heddle_cut"}), names)
+    more = F.col("_heddle_cut").isNotNull() & (order_key(seed, F.col("_heddle_epochs"), F.col("doc_id")) <= F.col("_heddle_cut"))
+    times = F.col("_heddle_epochs") + F.when(more, 1).otherwise(0)
+    rows = rows.withColumn("_heddle_times", times).filter("_heddle_times > 0")
+    return rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_heddle_times") - 1))).drop("_heddle_times", "_heddle_epochs", "_heddle_cut")
 
 
 def tree() -> dict[str, Column]:

@@ -130,10 +130,10 @@ def judged(found: DataFrame, model: RandomForestClassificationModel, words: Iter
 
 def redacted(docs: DataFrame, secrets: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[SECRET]") -> DataFrame:
     """docs with each of secrets' (doc_id, candidate) written over, longest first."""
-    some = secrets.groupBy(F.col("doc_id").alias("_of")).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))  # as many as the text holds
-    out = docs.join(some, F.col(doc_id) == F.col("_of"), "left")
-    clean = F.aggregate(F.coalesce("_secrets", F.array().cast("array<string>")), F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
-    return out.withColumn(text, clean).drop("_of", "_secrets")
+    some = secrets.groupBy(F.col("doc_id").alias("_heddle_of")).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_heddle_secrets"))  # as many as the text holds
+    out = docs.join(some, F.col(doc_id) == F.col("_heddle_of"), "left")
+    clean = F.aggregate(F.coalesce("_heddle_secrets", F.array().cast("array<string>")), F.col(text), lambda t, s: F.replace(t, s, F.lit(mark)))
+    return out.withColumn(text, clean).drop("_heddle_of", "_heddle_secrets")
 
 
 #: Words of the made findings' prose.

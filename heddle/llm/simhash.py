@@ -7,6 +7,13 @@ the Golay codewords nearest to it and to each of its one-bit neighbours (six at
 - none and two: both give the first segment as it is and the keys of the second.
 Rows of equal key are joined and every pair verified. No pair within 4 bits is missed.
 
+Null and empty texts and those without words have fingerprint 0 and link as any other; texts of fewer words than a shingle are one
+shingle; very long texts are read whole, a part of their shingles at a time; rows that repeat count once a fingerprint; an empty
+table gives no rows; other columns are not read but by dedup(), which keeps them, whatever their names.
+
+Candidates of a key grow with the square of the fingerprints that share it: 24 bits a pair of segments, 36 asks a fingerprint.
+Beyond some 10 million distinct fingerprints that no common one takes first, a third segment's codeword should widen the key.
+
 Equal fingerprints are one class before anything is joined. Fingerprints that share both nearest codewords with a common
 one are linked to it first; the join then only returns links between what is not yet linked.
 """
@@ -132,7 +139,8 @@ def linked(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """fps (doc_id, fp) -> (fp, component_id), the smallest doc_id reachable by links of at most limit (4 or fewer) bits.
 
     Fingerprints that only rows without doc_id have aren't linked and are left out."""
-    assert 0 <= limit <= LIMIT
+    if not 0 <= limit <= LIMIT:
+        raise ValueError(f"limit is 0 to {LIMIT}")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("doc_id").alias("n")).filter("n > 0")
     classes = written(classes.withColumn("part", F.col("node")))
@@ -163,8 +171,8 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document of smallest doc_id of each component. Rows of equal doc_id are one document, of which one row stays (that
     of least text hash); rows without doc_id are not compared and stay."""
-    kept = components_of(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = components_of(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("_heddle_kept")).distinct()
     first = Window.partitionBy(doc_id).orderBy(F.xxhash64(text))
-    own = docs.filter(F.col(doc_id).isNotNull()).withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    own = own.join(kept, F.col(doc_id).cast("long") == F.col("_kept"), "left_semi")
+    own = docs.filter(F.col(doc_id).isNotNull()).withColumn("_heddle_row", F.row_number().over(first)).filter("_heddle_row = 1").drop("_heddle_row")
+    own = own.join(kept, F.col(doc_id).cast("long") == F.col("_heddle_kept"), "left_semi")
     return own.unionByName(docs.filter(F.col(doc_id).isNull()))

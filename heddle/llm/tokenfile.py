@@ -33,7 +33,8 @@ class Model:
         order = np.argsort(symbols)
         self.symbols, counts = symbols[order].astype(np.uint32), counts[order].astype(np.float64)
         self.bits = BITS
-        assert len(counts) <= 1 << (BITS - 2), "too many symbols"
+        if len(counts) > 1 << (BITS - 2):
+            raise ValueError(f"more than {1 << (BITS - 2)} symbols do not fit frequencies of {BITS} bits")
         f = np.maximum(1, np.floor(counts / max(counts.sum(), 1) * (1 << self.bits))).astype(np.int64)
         more = (1 << self.bits) - int(f.sum())
         for i in np.argsort(-f, kind="stable"):  # frequent symbols give or take what rounding left

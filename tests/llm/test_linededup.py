@@ -29,19 +29,43 @@ def test_cases(spark):
     rows = [(1, f"{long}\nx\n{long}"), (2, f" {long.replace('T', 't')}\t\nend"), (3, f"a\n{long}\r"), (4, None), (5, ""), (6, "\n\n"),
             (None, long), (None, None), (7, "twenty code points!!\n" * 3), (8, "twenty code points!!"), (9, "nineteen points !!!"), (10, "nineteen points !!!"), (11, "nineteen points !!!"),
             (7, long), (12, "y\n" * 500 + long)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("z")).withColumn("pos", F.lit(1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": F.lit("z"), "pos": F.lit(1), "_of": F.lit(2), "_lines": F.lit(3)})
     got = linededup.dedup(df, batches=3).select("doc_id", "n_lines", "n_dropped", "text").collect()
     s = lambda v: sorted(map(tuple, v), key=str)
     assert s(got) == s(brute(rows))
 
 
-def test_many_batches_compact(spark):
-    runs = linededup.Runs()
-    for b in range(9):
-        runs.add(spark.range(b * 5, b * 5 + 5).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("h1"), F.lit(0).cast("long").alias("h2")))
+def batch(spark, b):
+    return spark.range(b * 5, b * 5 + 5).select(F.col("id").alias("doc_id"), (F.col("id") % 7).alias("h1"), (F.col("id") % 7 * 3).alias("h2"))
+
+
+def counts(runs):
+    return {r.h1: (r.docs, r.last) for r in linededup.merged(runs.all()).collect()}
+
+
+def test_many_batches_compact_and_open_again(spark):
+    runs = linededup.Runs(spark)
+    for b in range(6):
+        runs.add(batch(spark, b))
+    runs.close()
+    runs = linededup.Runs(spark.newSession(), runs.folder)  # another session goes on
+    for b in range(6, 9):
+        runs.add(batch(runs.spark, b))
     assert [len(x) for x in runs.levels] == [1, 2]
-    got = {r.h1: (r.docs, r.last) for r in linededup.merged(runs.all()).collect()}
-    assert got == {h: (len(v), max(v)) for h in range(7) for v in [[i for i in range(45) if i % 7 == h]]}
+    assert counts(runs) == {h: (len(v), max(v)) for h in range(7) for v in [[i for i in range(45) if i % 7 == h]]}
+    runs.close()
+    assert counts(linededup.Runs(spark, runs.folder)) == {h: (len(v), max(v)) for h in range(7) for v in [[i for i in range(45) if i % 7 == h]]}
+
+
+def test_runs_are_not_moved_for_a_batch(spark):
+    runs = linededup.Runs(spark)
+    for b in range(2):
+        runs.add(batch(spark, b))
+    new = batch(spark, 0).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("last"))
+    plan = runs.unsettled(new, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == 2 and plan.count("Exchange") == 1  # the batch's own
+    assert {r.h1 for r in runs.unsettled(new, 2).collect()} == {3, 4}  # of the five keys, those that few documents hold
+    runs.close()
 
 
 def test_empty_table(spark):
