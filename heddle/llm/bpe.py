@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a contiguous rank array per word (operator 3).
 
 encode(df) adds an array of ids, decode(df) turns such arrays back into text. Both are Arrow functions over Spark's own
-partitions and batches; nothing is shuffled. Null and empty texts give an empty array, repeated rows the same array each,
+partitions and batches; nothing is shuffled. An empty table gives no rows, null and empty texts give an empty array, repeated rows the same array each,
+very long texts are read whole,
 other columns stay as they are (an existing column of the output's name is replaced). Ids outside the vocabulary decode to
 nothing. Very long words are merged through a heap, with the same result, as the array's scan is quadratic.
 """

@@ -8,7 +8,8 @@ A leaf's budget is whole epochs of its documents and a rest. The rest is a prefi
 md5(seed:epoch:doc_id): documents are taken while the tokens of those before them are fewer than the rest. The cut is found
 by sums over hash prefixes, so that no task orders a whole leaf, and is one key a leaf; texts are never shuffled.
 
-Nulls in tree columns are the node of the empty string, null texts have no tokens, rows of equal doc_id are ordered as one
+An empty table gives no rows; very long texts are counted whole and taken or left whole; other columns stay as they are, whatever
+their names, but for those that are added (_t_ and each tree column's name, _epoch), which are replaced. Nulls in tree columns are the node of the empty string, null texts have no tokens, rows of equal doc_id are ordered as one
 (all or none in a prefix). Nodes that no weight names weigh default_weight; nodes of weight 0 get nothing.
 """
 

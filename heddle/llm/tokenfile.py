@@ -2,10 +2,11 @@
 
 A folder holds `model` (symbol, n, the corpus counts that every block's frequencies come from) and `blocks`, Parquet rows
 that decode alone: shard and block number, the documents' ids and lengths, a crc32 of the block's ids, the 32-bit words of
-LANES interleaved coders, and checkpoints (row, word, coder states) from which several readers can start inside a block.
-Shards are ranges of doc_id; within one, documents ascend by doc_id. Whole documents are never cut between blocks.
+LANES interleaved coders, and checkpoints (row, word, coder states, crc32 of the ids up to the next) from which several readers
+start inside a block: read() decodes blocks of more than PIECE checkpoints, those of very long documents, in pieces of so many,
+each by a task of its own that gets its words alone, and joins the documents' checksums from those of their parts. Shards are ranges of doc_id; within one, documents ascend by doc_id. Whole documents are never cut between blocks.
 
-Null and empty texts are documents of the end id alone; null doc_ids come first; rows of equal doc_id are ordered by their ids.
+An empty table gives no rows; other columns are not read, whatever their names. Null and empty texts are documents of the end id alone; null doc_ids come first; rows of equal doc_id are ordered by their ids.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-LANES, BLOCK, CHECK, BITS = 2048, 1 << 19, 64, 20
+LANES, BLOCK, CHECK, BITS, PIECE = 2048, 1 << 19, 64, 20, 8
 #: States are at least LOW and below LOW << 32, so that they are exact as doubles, and so are floors of quotients.
 LOW, TOP_BITS = 1 << BITS, BITS + 32
 
@@ -71,8 +72,8 @@ class Model:
         words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
         return words.tobytes(), [m[0] for m in marks], [emitted - m[1] for m in marks], b"".join(m[2] for m in marks)
 
-    def decode(self, n: int, words: bytes, rows: list[int], starts: list[int], states: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
-        """The ids of a block of n, or of its checkpoints first to last alone."""
+    def decode(self, n: int, words: bytes, rows: list[int], starts: list[int], states: bytes, first: int = 0, last: int | None = None, ends: bool = True) -> np.ndarray:
+        """The ids of a block of n, or of its checkpoints first to last alone. ends: n is the block's end."""
         end = -(-n // LANES) if last is None or last >= len(rows) else rows[last]
         w, x = np.frombuffer(words, "<u4").astype(np.int64), np.frombuffer(states, "<i8").reshape(-1, LANES)[first].copy()
         pos, bits, mask = starts[first], self.bits, (1 << self.bits) - 1
@@ -89,7 +90,7 @@ class Model:
             v[need] = (v[need] << 32) | w[pos : pos + len(need)]
             pos += len(need)
             x[: len(to)] = v
-        if end * LANES >= n and (pos != len(w) or (x != LOW).any()):
+        if end * LANES >= n and (pos != len(w) or ends and (x != LOW).any()):
             raise ValueError("a block's coders do not end where they began")
         return self.symbols[out]
 
@@ -138,7 +139,7 @@ def fitted(spark: SparkSession, path: str) -> Model:
     return Model(rows["symbol"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
-BLOCKS = "shard int, block int, n_ids long, crc32 long, doc_ids array<long>, lengths array<int>, check_rows array<int>, check_words array<int>, states binary, words binary"
+BLOCKS = "shard int, block int, n_ids long, crc32 long, doc_ids array<long>, lengths array<int>, check_rows array<int>, check_words array<int>, check_crcs array<long>, states binary, words binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int | None = None, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -159,8 +160,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
         def block() -> pa.RecordBatch:
             all_ids = np.frombuffer(b"".join(ids), kind).astype("<u4")
             words, rows, starts, states = model.encode(all_ids)
-            values = [shard, number, len(all_ids), zlib.crc32(all_ids.tobytes()), owners, [len(i) // size for i in ids], rows, starts, states, words]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.binary(), pa.binary()]
+            crcs = [zlib.crc32(all_ids[r * LANES : (r + CHECK) * LANES].tobytes()) for r in rows]
+            values = [shard, number, len(all_ids), zlib.crc32(all_ids.tobytes()), owners, [len(i) // size for i in ids], rows, starts, crcs, states, words]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3, pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [c.split()[0] for c in BLOCKS.split(", ")])
 
         for b in batches:
@@ -179,10 +181,79 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
     ordered.mapInArrow(of, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
+def joined_crc(parts: list[tuple[int, int]]) -> int:
+    """crc32 of byte strings one after another, from the crc32 and the length of each.
+
+    A checksum is a polynomial over two elements, bit 31 its constant; what follows multiplies it by x to the bits that follow."""
+
+    def times(a: int, b: int) -> int:
+        out = 0
+        while a:
+            if a & 0x80000000:
+                out ^= b
+            a = a << 1 & 0xFFFFFFFF
+            b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+        return out
+
+    whole = 0
+    for crc, n in parts:
+        power, square, left = 0x80000000, 0x40000000, 8 * n  # 1, x
+        while left:
+            if left & 1:
+                power = times(square, power)
+            square, left = times(square, square), left >> 1
+        whole = times(power, whole) ^ crc
+    return whole
+
+
+def pieces(blocks: DataFrame) -> DataFrame:
+    """Of large blocks, a row for every PIECE checkpoints with the words and the states that these need."""
+    rows = blocks.withColumn("k", F.explode(F.sequence(F.lit(0), F.size("check_rows") - 1, F.lit(PIECE))))
+    at = lambda c, other: F.coalesce(F.get(c, F.col("k") + PIECE), other)
+    begin, end = F.get("check_words", F.col("k")), at("check_words", (F.length("words") / 4).cast("int"))
+    low, high = F.get("check_rows", F.col("k")).cast("long") * LANES, F.coalesce(F.get("check_rows", F.col("k") + PIECE).cast("long") * LANES, F.col("n_ids"))
+    rows = rows.select("shard", "block", "n_ids", "doc_ids", "lengths", low.alias("low"), high.alias("high"), F.slice("check_crcs", F.col("k") + 1, PIECE).alias("check_crcs"), F.substring("states", F.col("k") * (8 * LANES) + 1, F.lit(8 * LANES)).alias("states"), F.substring("words", begin * 4 + 1, (end - begin) * 4).alias("words"))
+    return rows.repartition("shard", "block", "low")
+
+
+def parts_of(rows: DataFrame, shared, ids: bool) -> DataFrame:
+    """pieces() decoded -> documents (shard, block, doc_id, at, n_tokens, ids_crc32, ids), whose parts are put together."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                b = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+                low, high = b["low"], b["high"]
+                got = shared.value.decode(high - low, b["words"], [0], [0], b["states"], ends=high == b["n_ids"]).astype("<u4")
+                step = CHECK * LANES
+                if [zlib.crc32(got[j : j + step].tobytes()) for j in range(0, len(got), step)] != b["check_crcs"]:
+                    raise ValueError(f"checksum of shard {b['shard']}, block {b['block']}, ids from {low}")
+                ends = np.cumsum(np.array(b["lengths"], np.int64))
+                begins = ends - b["lengths"]
+                here = np.flatnonzero((begins < high) & (ends > low))
+                cuts = [got[max(begins[j], low) - low : min(ends[j], high) - low] for j in here]
+                cols = [pa.array([b[k]] * len(here), pa.int32()) for k in ("shard", "block")]
+                cols += [pa.array(here), pa.array([b["doc_ids"][j] for j in here], pa.int64()), pa.array(begins[here]), pa.array((ends - begins)[here]), pa.array([low] * len(here), pa.int64()), pa.array([len(c) for c in cuts], pa.int64()), pa.array([zlib.crc32(c.tobytes()) for c in cuts], pa.int64())]
+                if ids:
+                    cols.append(pa.array([c.astype(np.int32) for c in cuts], pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, fields)
+
+    @F.arrow_udf("long")
+    def joined(lengths: pa.Array, crcs: pa.Array) -> pa.Array:
+        return pa.array([joined_crc([(c, 4 * n) for n, c in zip(*x)]) for x in zip(lengths.to_pylist(), crcs.to_pylist())], pa.int64())
+
+    kinds = "shard int, block int, j long, doc_id long, at long, n_tokens long, low long, n long, crc long" + ", ids array<int>" * ids
+    fields = [c.split()[0] for c in kinds.split(", ")]
+    part = F.struct("low", "n", "crc", *["ids"] * ids)
+    whole = rows.mapInArrow(of, kinds).groupBy("shard", "block", "j").agg(*(F.first(c).alias(c) for c in ("doc_id", "at", "n_tokens")), F.array_sort(F.collect_list(part)).alias("parts"))  # as many as the document is long
+    out = whole.select("shard", "block", "doc_id", "at", "n_tokens", joined(F.col("parts.n"), F.col("parts.crc")).alias("ids_crc32"), *[F.flatten("parts.ids").alias("ids")] * ids)
+    return out
+
+
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids of each document in path.
 
-    Every block is decoded and held against its checksum; starts come from the blocks' headers."""
+    Every block, or every checkpoint's part of a large one, is decoded and held against its checksum; starts come from headers."""
     shared = spark.sparkContext.broadcast(fitted(spark, path))
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
@@ -210,5 +281,6 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     first = heads.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row a shard
     first = first.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
     heads = heads.join(first, "shard").select("shard", "block", (F.col("before") + F.sum("n_ids").over(Window.partitionBy("shard").orderBy("block")) - F.col("n_ids")).alias("before"))
-    out = blocks.mapInArrow(of, kinds).join(heads, ["shard", "block"])
+    large = F.size("check_rows") > PIECE
+    out = blocks.filter(~large).mapInArrow(of, kinds).unionByName(parts_of(pieces(blocks.filter(large)), shared, ids)).join(heads, ["shard", "block"])
     return out.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * ids)

@@ -60,7 +60,7 @@ def rows_of(n, seed=5):
 @pytest.mark.parametrize("budget,epochs", [(1.0, 3), (0.4, 1), (5.0, 2)])
 def test_against_brute_force(spark, budget, epochs):
     rows = rows_of(400)
-    docs = spark.createDataFrame(rows, SCHEMA).withColumn("epochs", F.lit("mine")).withColumn("cut", F.lit(1))
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({"epochs": F.lit("mine"), "cut": F.lit(1), "_salt": F.lit(2), "_times": F.lit(3)})
     out = M.mixed(docs, M.tree(), weights=M.WEIGHTS, budget=budget, max_epochs=epochs, seed=7)
     assert set(docs.columns) < set(out.columns)
     got = Counter((x.doc_id, x._t_domain, x._t_lang, x._t_source) for x in out.collect())

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -69,3 +70,27 @@ def test_query(spark):
         ids = [*LIB.encode(w.text or "", add_special_tokens=False).ids, 2]
         assert (g.doc_id, g.start, g.n_tokens, g.ids_crc32) == (w.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_checksums_are_joined():
+    r = random.Random(1)
+    for _ in range(50):
+        parts = [r.randbytes(r.choice([0, 1, 4, 1000])) for _ in range(r.randint(0, 5))]
+        assert tokenfile.joined_crc([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
+
+
+def test_large_blocks_are_read_in_pieces(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, " ".join(r.choices(["the", "of", "word", "résumé", "x9"], k=r.choice([3, 50, 4000])))) for i in range(40)]
+    rows.append((7, " ".join(r.choices(["long", "text", "of", "a", "document"], k=1_400_000))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"shard": F.lit(1), "block": F.lit(2)})
+    path = f"file://{tmp_path}/t"
+    tokenfile.write(df, path, PATH, end_id=2, shards=2)
+    sizes = [x.n for x in spark.read.parquet(f"{path}/blocks").selectExpr("size(check_rows) AS n").collect()]
+    assert max(sizes) > tokenfile.PIECE
+    got = tokenfile.read(spark, path).collect()
+    want = sorted((d, [*LIB.encode(t, add_special_tokens=False).ids, 2]) for d, t in rows)
+    assert sorted((x.doc_id, x.ids) for x in got) == want
+    assert all(x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes()) and x.n_tokens == len(x.ids) for x in got)
+    last = max(got, key=lambda x: x.start)
+    assert last.start + last.n_tokens == sum(len(i) for _, i in want)
