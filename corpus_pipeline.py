@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages, each on all that the one before it kept."""
+"""The corpus pipeline: five stages, each on all that the one before it kept.
+
+Stages take and, but for the last, return the columns of documents; columns beyond those stay. An empty table stays empty. Null
+and empty texts have no words and go in the first stage. Rows that repeat are judged alike by it; line dedup takes rows of equal
+doc_id as one document; of these SimHash keeps the one of least text hash; mixing takes documents in an order without ties.
+Very long texts are read whole in each stage."""
 
 from __future__ import annotations
 
