@@ -89,7 +89,7 @@ def same(got, want):
 
 def test_quality(stages):
     before, after = stages[0]["quality"]
-    cut = quality.chi2(1 - 1e-9, 4) ** 0.5
+    cut = quality.chi2(quality.LEVEL, quality.P) ** 0.5
     verdicts = brute_verdicts(before)
     same(after, [r for k, r in enumerate(before) if verdicts.get(k, 1e9) <= cut])
     assert all(brute_stats(r[1])[0] >= 50 for r in after) and len(after) < len(before)
