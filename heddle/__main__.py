@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from . import storage
 from .functions.constants import THRESHOLD_KB
 from .plans import report
 from .plans.engine import Engine
@@ -30,9 +31,14 @@ def main(argv: list[str] | None = None) -> int:
     if not (root / ".git").exists():
         print(f"{root} is no git working tree", file=sys.stderr)
         return 1
+    own = SparkSession.getActiveSession() is None
     spark = SparkSession.builder.appName("heddle").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine.of_git(spark, str(root), threshold_kb=arguments.threshold)
-    print(report.developer(engine, arguments.developer) if arguments.developer else report.simple(engine) if arguments.simple else report.extended(engine))
+    try:
+        print(report.developer(engine, arguments.developer) if arguments.developer else report.simple(engine) if arguments.simple else report.extended(engine))
+    finally:
+        if own:
+            storage.remove(spark)
     return 0
 
 

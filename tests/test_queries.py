@@ -66,3 +66,14 @@ def test_entry_without_llm(tmp_path):
         shutil.copy(f"{root}/{f}", tmp_path / f)
     got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert got.stdout.split() == [str(len(Q.QUERIES))] * 2
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    from heddle import storage
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="local-cluster[2,1,1024]", applicationId="app"))
+    with pytest.raises(ValueError):
+        storage.home(cluster)
