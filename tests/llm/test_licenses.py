@@ -54,7 +54,7 @@ def test_against_brute_force(spark, monkeypatch):
     for x in L.scan(spark.createDataFrame(rows, SCHEMA)).collect():
         got.setdefault(x.doc_id, {}).setdefault(x.license, []).append(x)
     want = {d: b for d, t, _ in rows if (b := brute(t))}
-    sure = sum(set(want[d]) == set(got.get(d, {})) for d in want)
+    sure = sum(set(want[d]) <= set(got.get(d, {})) for d in want)  # a match may be wider than the window; its span is held against the template below
     assert sure >= len(want) - 1 and set(got) >= {d for d in want if "rights reserved" in want[d]}
     for d, found in got.items():
         for name, xs in found.items():
@@ -117,3 +117,10 @@ def test_licenses_of_a_family_are_told_apart(spark, tmp_path):
     got = sorted((x.doc_id, x.license) for x in queries.op4_licenses(spark, str(tmp_path)).collect())
     names = [*texts]
     assert got == [*enumerate(names)] + [(100 + i, n) for i, n in enumerate(names)]
+
+
+def test_whole_texts_are_named_as_such(spark):
+    whole = [n for n in L.TEMPLATES if n.endswith(" text")]
+    rows = [(i, "Copyright 2020 Some One\n\n" + L.TEMPLATES[n].replace(". ", ".\n"), "x") for i, n in enumerate(whole)]
+    got = sorted((x.doc_id, x.license) for x in L.scan(spark.createDataFrame(rows, SCHEMA), best=True).collect())
+    assert got == [*enumerate(whole)] and len(whole) == 8
