@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
-WIDTH, ROWS, BLOCK, MOST = 5, 2, 1 << 18, 5000
-TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+WIDTH, ROWS, BLOCK, MOST = 5, 2, 1 << 16, 5000
 
 _GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details."
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
@@ -105,26 +104,27 @@ def bands_for(s: int, stride: int, containment: float, sure: float) -> int:
     return 1 if least >= 1 else math.ceil(math.log(1 - sure) / math.log(1 - least**ROWS))
 
 
-def sliding_min(x: np.ndarray, s: int, alike: dict[int, np.ndarray] | None = None) -> np.ndarray:
-    """Of each window of s, shorter at the end of its text. alike: by distance, which places lie in one text with that so far on."""
-    out, have = x, 1
-    while have < s:
-        step = min(have, s - have)
-        nxt = out.copy()
-        if step < len(out):
-            far = out[step:] if alike is None else np.where(alike[step], out[step:], TOP)
-            np.minimum(out[:-step], far, out=nxt[:-step])
-        out, have = nxt, have + step
+def doubled(x: np.ndarray, s: int) -> list[np.ndarray]:
+    """The least of each window of 1, 2, 4, .. up to s; windows end with x."""
+    out = [x]
+    while 2 << (len(out) - 1) <= s:
+        last, step = out[-1], 1 << (len(out) - 1)
+        new = last.copy()
+        if step < len(x):
+            np.minimum(last[:-step], last[step:], out=new[:-step])
+        out.append(new)
     return out
 
 
-def distances(s: int) -> list[int]:
-    """That sliding_min() looks at."""
-    out, have = [], 1
-    while have < s:
-        out.append(min(have, s - have))
-        have += out[-1]
-    return out
+def least_of(ladder: list[np.ndarray], starts: np.ndarray, s: int) -> np.ndarray:
+    """The least of the windows of s that begin at starts, from doubled()."""
+    k = s.bit_length() - 1
+    return np.minimum(ladder[k][starts], ladder[k][starts + s - (1 << k)])
+
+
+def runs(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begins[0], begins[0] + 1, .. (sizes[0] of them), begins[1], .."""
+    return np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 class Index:
@@ -153,59 +153,88 @@ class Index:
                 raise ValueError("a lower containment than the seeds allow for")
             tables: list[dict[int, list[str]]] = [defaultdict(list) for _ in range(n)]
             for name in names:
-                for table, key in zip(tables, self.bands(self.sets[name], len(self.sets[name]), n)):
-                    table[int(key[0])].append(name)
+                for table, key in zip(tables, self.bands(self.sets[name], n, lambda p: {0: p.min(keepdims=True)})):
+                    table[int(key[0][0])].append(name)
             self.classes[width, s] = (stride, n, [dict(t) for t in tables])
         self.longest = max(w + s for w, s in self.classes)
 
     def of(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
 
-    def bands(self, x: np.ndarray, s: int, n: int, live: np.ndarray | None = None, alike: dict[int, np.ndarray] | None = None) -> Iterator[np.ndarray]:
-        """n keys of each window of s shingles, one array after another."""
+    def bands(self, x: np.ndarray, n: int, least: Callable[[np.ndarray], dict]) -> Iterator[dict]:
+        """n keys of each window, one after another. least: of hashes of x, by kind, the least of each of its windows."""
         for k in range(n):
-            key = np.zeros(len(x), np.uint64)
+            keys: dict = {}
             for r in range(ROWS):
                 a, b = self.seeds[k * ROWS + r]
                 p = (x ^ b) * a
                 p ^= p >> np.uint64(32)
-                if live is not None:
-                    p[~live] = TOP
-                key = (key ^ sliding_min(p, s, alike)) * np.uint64(0xBF58476D1CE4E5B9)
-            yield key
+                for kind, m in least(p).items():
+                    keys[kind] = (keys.get(kind, np.uint64(0)) ^ m) * np.uint64(0xBF58476D1CE4E5B9)
+            yield keys
+
+    def hits(self, x: np.ndarray, kinds: Iterable[tuple[int, int]], least: Callable[[np.ndarray], dict]) -> list[tuple[tuple[int, int], int, str]]:
+        """(kind, window, template) of each collision in a band."""
+        out = set()
+        for k, keys in enumerate(self.bands(x, max(self.classes[c][1] for c in kinds), least)):
+            for kind, own in keys.items():
+                _, n, tables = self.classes[kind]
+                table = tables[k] if k < n else {}
+                some = np.fromiter(table, np.uint64, len(table))
+                for i in np.flatnonzero(np.isin(own, some) if len(some) > 8 else np.logical_or.reduce([own == t for t in some])) if len(some) else ():
+                    out |= {(kind, int(i), name) for name in table[int(own[i])]}
+        return sorted(out)
 
     def found(self, texts: list[str]) -> Iterator[tuple[int, str, int, int, float]]:
-        """(text's place, template, first word, last word + 1, share matched) of each match. Texts are read as one stream, but windows
-        begin at multiples of their class's stride from a text's begin and end with it, so that a match depends on its text alone."""
+        """(text's place, template, first word, last word + 1, share matched) of each match. Windows lie in one text each: they begin
+        at multiples of their class's stride from the text's begin, and one ends with it; a shorter text is one window. So a match
+        depends on its text alone."""
         words = [words_of(t) for t in texts]
-        ends = np.cumsum([len(w) for w in words])
-        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        sizes = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
         h = self.of([x for w in words for x in w])
         spans: dict[tuple[int, str], list[tuple[int, int, float]]] = defaultdict(list)
+        windows = {}
+        for (width, s), (stride, _, _) in self.classes.items():
+            count = sizes - width + 1  # shingles
+            long = np.flatnonzero(count >= s)
+            each = (count[long] - s) // stride + 1
+            starts = np.repeat(begins[long], each) + stride * runs(np.zeros(len(long), np.int64), each)
+            windows[width, s] = np.unique(np.concatenate([starts, begins[long] + count[long] - s]))
+            short = np.flatnonzero((count < s) & (count >= max(1, math.ceil(self.containment * s - 1e-9))))
+            if len(short):
+                x = shingles(h[runs(begins[short], sizes[short])], width)
+                at = np.cumsum(sizes[short]) - sizes[short]
+                x = x[runs(at, count[short])]  # none of two texts
+                at = np.cumsum(count[short]) - count[short]
+                kind = (width, s)
+                for _, i, name in self.hits(x, [kind], lambda p, at=at, kind=kind: {kind: np.minimum.reduceat(p, at)}):
+                    own = x[at[i] : at[i] + count[short[i]]]
+                    if m := self.verified(own, 0, len(own), name):
+                        spans[int(short[i]), name].append((m[0], m[1] + width, m[2]))
         for begin in range(0, len(h), BLOCK):
             lead = min(begin, self.longest)  # what lies around the block's windows
             first = begin - lead
             part = h[first : begin + BLOCK + 2 * self.longest]
-            owner = np.searchsorted(ends, np.arange(first, first + len(part)), side="right")
-            for (width, s), (stride, n, tables) in self.classes.items():
-                x = shingles(part, width)
-                if not len(x):
+            for width in {w for w, _ in windows}:
+                some = {k: at[np.searchsorted(at, begin) : np.searchsorted(at, begin + BLOCK)] - first for k, at in windows.items() if k[0] == width}
+                some = {k: at for k, at in some.items() if len(at)}
+                if not some:
                     continue
-                live = owner[: len(x)] == owner[width - 1 :]
-                own = owner[: len(x)]
-                place = np.arange(len(x))
-                at = np.flatnonzero(((first + place - begins[own]) % stride == 0) & (place >= lead) & (place < lead + BLOCK))
-                alike = {d: own[:-d] == own[d:] for d in distances(s) if d < len(x)}
-                hits = set()
-                for key, table in zip(self.bands(x, s, n, live, alike), tables):
-                    keys = key[at]
-                    for i in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))):
-                        hits |= {(int(at[i]), name) for name in table[int(keys[i])]}
-                for start, name in sorted(hits):
-                    if m := self.verified(x, live, owner, start, s, name):
-                        doc, low, high, share = m
+                x, most = shingles(part, width), max(s for _, s in some)
+
+                def least(p: np.ndarray, some=some, most=most) -> dict:
+                    ladder = doubled(p, most)  # of all kinds
+                    return {kind: least_of(ladder, at, kind[1]) for kind, at in some.items()}
+
+                for (_, s), i, name in self.hits(x, some, least):
+                    start = int(some[width, s][i])
+                    doc = int(np.searchsorted(ends, start + first, side="right"))
+                    low, high = max(start - s // 4, int(begins[doc]) - first), min(start + s + s // 4, int(ends[doc]) - width + 1 - first)
+                    if m := self.verified(x, low, high, name):
                         base = first - int(begins[doc])
-                        spans[doc, name].append((base + low, base + high + width, share))
+                        spans[doc, name].append((base + m[0], base + m[1] + width, m[2]))
         for (doc, name), some in sorted(spans.items()):
             some.sort()
             first, last, share = some[0]
@@ -225,14 +254,12 @@ class Index:
                 chosen[x[0]].append(x)
         return sorted(x for some in chosen.values() for x in some)
 
-    def verified(self, x: np.ndarray, live: np.ndarray, owner: np.ndarray, start: int, s: int, name: str) -> tuple[int, int, int, float] | None:
-        """The exact share in the window and a quarter of its length around it, within its text."""
-        low, high, doc = max(0, start - s // 4), start + s + s // 4, owner[start]
+    def verified(self, x: np.ndarray, low: int, high: int, name: str) -> tuple[int, int, float] | None:
+        """The exact share among the shingles from low to high, a window and a quarter of its length around it; the first and last."""
         own = self.sets[name]
-        same = np.isin(x[low:high], own) & live[low:high]
-        at = low + np.flatnonzero(same & (owner[low : low + len(same)] == doc))
+        at = low + np.flatnonzero(np.isin(x[low:high], own))
         share = len(np.unique(x[at])) / len(own)
-        return (int(doc), int(at[0]), int(at[-1]), share) if share >= self.containment else None
+        return (int(at[0]), int(at[-1]), share) if share >= self.containment else None
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment: float = 0.8, sure: float = 0.999, doc_id: str = "doc_id", text: str = "text", best: bool = False) -> DataFrame:
