@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
+from . import bpe, bytebpe, licenses, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
 from .common import scratch, table
 
 
@@ -73,5 +73,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "probability", "is_secret")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op4_licenses, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets)}
+def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = bytebpe.decode(bytebpe.encode(docs, ranks, pattern), ranks)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op4_licenses, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets, op13_bytebpe)}
 ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op7_neardup": neardup.ORACLE, "op8_linededup": linededup.ORACLE}
