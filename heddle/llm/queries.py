@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytebpe, licenses, linededup, lm, mixing, neardup, quality, secrets, simhash, tokenfile
+from . import bpe, bytebpe, clusters, licenses, linededup, lm, mixing, neardup, negatives, quality, secrets, simhash, tokenfile
 from .common import scratch, table
 
 
@@ -73,6 +73,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", F.length("candidate").cast("long").alias("n_chars"), F.sha2("candidate", 256).alias("sha256"), "probability", "is_secret")
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, negatives.relabelled())
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(*clusters.clustered(table(spark, sf_dir, "embeddings")))
+
+
 def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -87,5 +95,5 @@ def op13_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op4_licenses, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets, op13_bytebpe)}
-ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op7_neardup": neardup.ORACLE, "op8_linededup": linededup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_tokenfile, op3_bpe, op4_licenses, op5_quality, op6_lm, op7_neardup, op8_linededup, op9_simhash, op10_secrets, op11_negatives, op12_clusters, op13_bytebpe)}
+ORACLES = {"op1_mixing": mixing.oracle(**MIX) + "SELECT doc_id, domain, lang, source, unnest(range(n)) AS epoch FROM times", "op7_neardup": neardup.ORACLE, "op8_linededup": linededup.ORACLE, "op11_negatives": negatives.ORACLE, "op12_clusters": clusters.oracle()}
