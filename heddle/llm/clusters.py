@@ -5,7 +5,7 @@ over each block once, a row a block, written to the shared folder. A node is one
 its radius reaches them, its children are farther apart than half of that, and it knows how many they are and their sums. A
 round builds a tree over the k centroids and walks both together. A pair of nodes goes as soon as bounds on distances show that
 every vector below has a nearer centroid; where one centroid is left for a node, all vectors below go to it by the node's sums;
-what reaches the leaves is compared exactly, in whole numbers. A round sends one row of sums a block and centroid, and k rows of
+what reaches the leaves is compared exactly, in whole numbers. A round sends one row of sums a task and centroid, and k rows of
 sums to the driver, whatever the number of vectors.
 
 Ties go to the smaller number. Means are exact floors. Centroids start as the k vectors of least sha256 of "seed:id"; empty ones
@@ -225,11 +225,13 @@ def rounded(held: DataFrame, means: np.ndarray) -> np.ndarray:
     dim, over = means.shape[1], over_centroids(means)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count, total = np.zeros(len(means), np.int64), np.zeros(means.shape, np.int64)
         for b in batches:
             for i in range(len(b)):
-                count, total = Block(b.slice(i, 1).to_pylist()[0], dim).sums(means, over)
-                own = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own]), pa.array(total[own].tolist(), pa.list_(pa.int64()))], ["c", "n", "sums"])
+                n, sums = Block(b.slice(i, 1).to_pylist()[0], dim).sums(means, over)
+                count, total = count + n, total + sums
+        own = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count[own]), pa.array(total[own].tolist(), pa.list_(pa.int64()))], ["c", "n", "sums"])
 
     parts = held.mapInArrow(of, "c long, n long, sums array<long>").select("c", "n", F.posexplode("sums").alias("at", "part"))
     found = parts.groupBy("c", "at").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"), F.sum(F.col("part").cast("decimal(38,0)")).alias("total")).collect()
