@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..storage import numbered
 from ..storage import written as stored
+from . import similar
 
-#: Seeds that one round may add; all that a task or a broadcast holds of other authors.
-ROUND = 256
+#: Authors that one round folds into seeds, all that a task or a broadcast holds of other authors; such rounds before the index.
+ROUND, HEADS = 256, 3
 
 
 def upsert(seen: DataFrame) -> DataFrame:
@@ -42,23 +43,69 @@ def prepared(authors: DataFrame) -> DataFrame:
     return authors.select("id", F.struct("id", S.clean_name(F.col("name")).alias("name"), S.clean_name(F.col("display_name")).alias("display"), F.lower("email").alias("email"), S.email_part(F.col("email"), 0).alias("local"), S.email_part(F.col("email"), 1).alias("domain")).alias("key"))
 
 
-def loose_clusters(authors: DataFrame, each: int = ROUND) -> DataFrame:
+def first_seeds(rest: DataFrame, each: int) -> DataFrame:
+    """rest (id, key) with seed, null where it is not decided: the first `each` authors are folded into seeds, one after another,
+    and these claim what is like them among all others; no task holds more than that many authors."""
+    head = rest.orderBy("id").limit(each).agg(F.array_sort(F.collect_list("key")).alias("head"))
+    fold = F.aggregate("head", F.filter("head", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda s: authors_similar(s, x)), acc).otherwise(F.concat(acc, F.array(x))))
+    seeds = stored(head.select(fold.alias("seeds")))
+    tried = rest.crossJoin(F.broadcast(seeds))  # one row of at most `each` seeds
+    first = F.get(F.filter("seeds", lambda s: (s["id"] <= F.col("id")) & authors_similar(s, F.col("key"))), 0)["id"]
+    return stored(tried.select("id", "key", F.coalesce(F.when(F.exists("seeds", lambda s: s["id"] == F.col("id")), F.col("id")), first).alias("seed")))
+
+
+def all_at_once(rest: DataFrame) -> DataFrame:
+    """(id, seed) of all authors (id, key), through the index of similar keys.
+
+    In each round every undecided author without an undecided smaller one like them becomes a seed, and all that are like a seed
+    are decided: what one after another would give. The rounds' number is the longest chain of authors each waiting for the one
+    before, which grows slowly with their number. Keys are numbered; authors only meet through keys."""
+    key = F.col("key")
+    name = lambda c: F.when(c != "", F.struct(F.lit("name").alias("kind"), F.lit("").alias("g"), S.compare_key(c).alias("text")))
+    mail = F.when(key["local"] != "", F.struct(F.lit("mail").alias("kind"), key["domain"].alias("g"), S.compare_key(key["local"]).alias("text")))
+    same = F.when(key["email"].isNotNull(), F.struct(F.lit("same").alias("kind"), F.lit("").alias("g"), key["email"].alias("text")))
+    has = rest.select("id", F.explode(F.array_distinct(F.array_compact(F.array(name(key["name"]), name(key["display"]), mail, same)))).alias("key")).select("id", "key.*")
+    known = stored(numbered(has.select("kind", "g", "text").distinct(), ["kind", "g", "text"], "k"))
+    of = stored(has.join(known, ["kind", "g", "text"]).select("id", "k"))
+    rules = {"name": similar.NAME, "mail": similar.MAIL}
+    some = {kind: known.filter(F.col("kind") == kind).drop("kind") for kind in rules}
+    links = stored(reduce(DataFrame.unionByName, [similar.pairs(some[kind], rule) for kind, rule in rules.items()]))
+    hubs = stored(reduce(DataFrame.unionByName, [similar.hubs(some[kind], rule) for kind, rule in rules.items()]))
+
+    def least(ids: DataFrame) -> DataFrame:
+        """(id, least) of each author: the least of these ids that are like them."""
+        own = of.join(ids, "id").groupBy("k").agg(F.min("id").alias("least"))
+        by_hub = own.join(hubs.filter("enters"), "k").groupBy("hub").agg(F.min("least").alias("least"))
+        ways = own.unionByName(own.join(links, F.col("k") == F.col("a")).select(F.col("b").alias("k"), "least"))
+        ways = ways.unionByName(own.join(links, F.col("k") == F.col("b")).select(F.col("a").alias("k"), "least"))
+        ways = ways.unionByName(by_hub.join(hubs.filter("leaves"), "hub").select("k", "least"))
+        return of.join(ways.groupBy("k").agg(F.min("least").alias("least")), "k").groupBy("id").agg(F.min("least").alias("least"))
+
+    keyless = rest.select("id").join(of.select("id").distinct(), "id", "left_anti")
+    parts, open_ = [keyless], stored(of.select("id").distinct())
+    while not open_.isEmpty():
+        new = stored(least(open_).filter("least = id").select("id").join(open_, "id", "left_semi"))
+        parts.append(new)
+        open_ = stored(open_.join(least(new).select("id"), "id", "left_anti"))
+    seeds = reduce(DataFrame.unionByName, parts)
+    return least(seeds).select("id", F.col("least").alias("seed")).unionByName(keyless.select("id", F.col("id").alias("seed")))
+
+
+def loose_clusters(authors: DataFrame, each: int = ROUND, heads: int = HEADS) -> DataFrame:
     """(id, seed): in the order of ids, an author who is like no seed before becomes one; the others belong to the first like them.
 
-    Each round folds the first `each` undecided authors into seeds and lets these claim what is like them among all others,
-    so that no task holds more than that many authors and the result is that of going through them one by one."""
+    The first authors are gone through `each` at a time, `heads` times, which ends most small tables and takes what is like many
+    out of large ones; what is left is decided through an index. The result is that of going through all one by one."""
     spark, rest, parts = authors.sparkSession, stored(prepared(authors)), []
-    while not rest.isEmpty():
-        head = rest.orderBy("id").limit(each).agg(F.array_sort(F.collect_list("key")).alias("head"))
-        fold = F.aggregate("head", F.filter("head", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda s: authors_similar(s, x)), acc).otherwise(F.concat(acc, F.array(x))))
-        seeds = stored(head.select(fold.alias("seeds")))
-        tried = rest.crossJoin(F.broadcast(seeds))  # one row of at most `each` seeds
-        first = F.get(F.filter("seeds", lambda s: (s["id"] <= F.col("id")) & authors_similar(s, F.col("key"))), 0)["id"]
-        tried = stored(tried.select("id", "key", F.coalesce(F.when(F.exists("seeds", lambda s: s["id"] == F.col("id")), F.col("id")), first).alias("seed")))
+    for _ in range(heads):
+        if rest.isEmpty():
+            break
+        tried = first_seeds(rest, each)
         parts.append(tried.filter("seed is not null").select("id", "seed"))
         rest = tried.filter("seed is null").select("id", "key")
-    none = spark.createDataFrame([], "id long, seed long")
-    return reduce(DataFrame.unionByName, parts, none)
+    if not rest.isEmpty():
+        parts.append(stored(all_at_once(rest)))
+    return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "id long, seed long"))
 
 
 def strict_clusters(authors: DataFrame) -> DataFrame:

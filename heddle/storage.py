@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Folders of local sessions that have no spark.checkpoint.dir.
@@ -45,15 +45,30 @@ def remove(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df, written, with a column that numbers its rows from 1 in an order of columns that has no ties.
-
-    Ranges of the order are sorted by a task each; a row a range gives what goes before it."""
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """df, written in ranges of an order of columns, each sorted by one task; _part: its range, _at: increases with the order."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33)
-    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    ends = sizes.agg(F.array_sort(F.collect_list(F.struct("_part", "_n"))).alias("_all"))  # as many as there are ranges
-    starts = ends.select(F.map_from_entries(F.transform("_all", lambda x: F.struct(x["_part"], F.aggregate(F.filter("_all", lambda y: y["_part"] < x["_part"]), F.lit(0).cast("long"), lambda acc, y: acc + y["_n"])))).alias("_starts"))
-    number = F.element_at("_starts", part) + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-    return rows.crossJoin(F.broadcast(starts)).withColumn(name, number).drop("_at", "_starts")  # one row of that many entries
+    return rows.withColumn("_part", F.shiftright("_at", 33).cast("int"))
+
+
+def before(rows: DataFrame, weight: Column) -> DataFrame:
+    """(_part, _start): the sum of a weight over all ranges before each; as many rows as ranges, so small enough for one task and every
+    other."""
+    sums = rows.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    return F.broadcast(sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_start")))
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df, written, with a column that numbers its rows from 1 in an order of columns that has no ties."""
+    rows = ranged(df, order)
+    within = F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+    return rows.join(before(rows, F.lit(1)), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_at", "_start")
+
+
+def running(df: DataFrame, order: list, name: str, weight: Column) -> DataFrame:
+    """df, written, with the sum of a weight (whole numbers) over all rows before each, in an order of columns that has no ties."""
+    rows = ranged(df.withColumn("_weight", weight.cast("long")), order)
+    within = F.sum("_weight").over(Window.partitionBy("_part").orderBy("_at")) - F.col("_weight")
+    out = rows.withColumn("_within", within).join(before(rows, F.col("_weight")), "_part")
+    return out.withColumn(name, F.col("_start") + F.col("_within")).drop("_part", "_at", "_weight", "_within", "_start")

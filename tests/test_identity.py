@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from heddle.operators import identity as I
+from heddle.operators import similar
 
 SCHEMA = "id long, name string, email string, display_name string"
 
@@ -46,8 +47,8 @@ def one_by_one(authors):
     return out
 
 
-@pytest.mark.parametrize("each", [256, 3])
-def test_greedy_clusters(spark, each):
+@pytest.mark.parametrize("each,heads", [(256, 3), (3, 2), (1, 0)])
+def test_greedy_clusters(spark, each, heads):
     r = random.Random(7)
     firsts, lasts = ["Alice", "Bob", "Karolína", "Zygmunt", "Ødegaard", "Q"], ["Smith", "Featherstonehaugh", "Nguyen", "Øst", "Vandermeer-Jones", "o'Neil"]
     rows = []
@@ -56,10 +57,43 @@ def test_greedy_clusters(spark, each):
         mail = f"{''.join(r.choices('abcdefgh', k=9))}@{r.choice(['a.org', 'b.com', 'c.net', 'd.io', 'e.eu'])}"
         rows.append((i * 3, name, mail.upper() if i % 9 == 0 else mail, name))
     rows += [(1000, "", "", ""), (1001, "007", "x", "007")]
-    got = {x.id: x.seed for x in I.loose_clusters(spark.createDataFrame(rows, SCHEMA), each).collect()}
+    got = {x.id: x.seed for x in I.loose_clusters(spark.createDataFrame(rows, SCHEMA), each, heads).collect()}
     assert got == one_by_one(rows) and 1 < len(set(got.values())) < len(rows)
 
 
+def test_index_finds_every_similar_pair(spark):
+    """Against all pairs: short keys, one letter, digits alone, long ones, other scripts, in two groups."""
+    r = random.Random(3)
+    texts = {"", "a", "b", "ab", "cd", "日", "日本", "𝒳y", *("".join(r.choices("abcdé", k=r.randint(1, 18))) for _ in range(260))}
+    texts |= {t[: len(t) // 2] + "x" + t[len(t) // 2 + 1 :] for t in [*texts][:80]} | {t + "yz" for t in [*texts][:40]}
+    for rule, most in ((similar.NAME, lambda n: min(max(int(n * 0.4), 2), 6)), (similar.MAIL, lambda n: min(max(int(n * 0.15), 1), 3))):
+        rows = [(i, "gh"[i % 2], t) for i, t in enumerate(sorted(texts))]
+        keys = spark.createDataFrame(rows, "k long, g string, text string")
+        got = {(x.a, x.b) for x in similar.pairs(keys, rule).collect()}
+        ways = similar.hubs(keys, rule).collect()
+        got |= {(min(x.k, y.k), max(x.k, y.k)) for x in ways for y in ways if x.hub == y.hub and x.enters and y.leaves and x.k != y.k}
+        alike = lambda s, t: s in t or t in s or lev(s, t) <= most(max(len(s), len(t)))  # noqa: E731, B023
+        assert got == {(i, j) for i, g, s in rows for j, h, t in rows if i < j and g == h and alike(s, t)}
+
+
+def test_many_authors_in_few_rounds(spark, monkeypatch):
+    """What one by one gives, and how many rounds it takes."""
+    r = random.Random(11)
+    stem = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    rows = []
+    for i in range(1200):
+        base = rows[r.randrange(len(rows))][1] if rows and r.random() < 0.4 else f"{stem(r.choice([6, 7, 8]))} {stem(r.choice([7, 9, 10]))}"
+        at = r.randrange(len(base))
+        name = base[:at] + r.choice(["", "x", "yz", base[at]]) + base[at + 1 :] if r.random() < 0.8 else base
+        rows.append((i, name, f"{stem(9)}@{r.choice('abcde')}.org", name))
+    wrote = []
+    monkeypatch.setattr(I, "stored", lambda df, keep=I.stored: wrote.append(df.columns) or keep(df))
+    got = {x.id: x.seed for x in I.loose_clusters(spark.createDataFrame(rows, SCHEMA), heads=0).collect()}
+    assert got == one_by_one(rows)
+    rounds = sum(c == ["id"] for c in wrote) // 2
+    assert 2 <= rounds <= 12 and len(set(got.values())) > 300
+
+
 @pytest.mark.parametrize("a,b,want", [
     (("x", "J@X.org"), ("yyyyyyyyy", "j@x.org"), True), (("Al", "qqqqqqqqq@p"), ("Bo", "zz@q"), True), (("user1", "aaaaaaaaaaa@p"), ("user2", "b@q"), True),
     (("Ann", "a1111@p"), ("Joanne", "b@q"), True), (("007", "cccc@p"), ("Somebody Else", "d@q"), True), (("Alice Smith", "e@p"), ("Alicia Smith", "f@q"), True),

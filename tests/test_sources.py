@@ -92,3 +92,97 @@ def test_command_line(spark, repository, tmp_path, capsys):
 
     assert main([str(tmp_path / "none")]) == 1
     assert main([repository[0], "--simple"]) == 0 and "Test User" in capsys.readouterr().out
+
+
+def commit(root, message="next", **files):
+    run = lambda *a: subprocess.run(["git", "-C", root, "-c", f"user.name={message}", "-c", f"user.email={message}@example.com", *a], check=True, capture_output=True)
+    for name, text in files.items():
+        with open(f"{root}/{name}.ts", "w") as f:
+            f.write(text)
+    run("add", "-A")
+    run("commit", "-qm", message)
+
+
+def told(engine):
+    lines = engine.blame.join(engine.files.select("file_id", "path"), "file_id").join(engine.authors.select(F.col("id").alias("author_id"), "email"), "author_id")
+    return sorted((r.path, r.line_number, r.content, r.hash, r.email) for r in lines.collect()), sorted(map(tuple, engine.author_contributions().collect()))
+
+
+def test_second_analysis_blames_what_changed(spark, tmp_path):
+    """Files changed, new, gone, changed back, with changes not committed, under a new mail map, and after history was rewritten."""
+    from heddle.plans.engine import Engine
+
+    root, store = str(tmp_path / "tree"), f"file://{tmp_path}/store"
+    subprocess.run(["git", "init", "-q", root], check=True)
+    commit(root, "ann", a="one\ntwo\n", b="x\ny\n", c="1\n2\n", d="gone\n", e="e\n")
+    again = lambda: Engine.of_git(spark, root, store=store, policy="strict")
+    assert again().blamed == 5
+    assert again().blamed == 0
+    commit(root, "bob", a="one\nthree\n", new="n\n", c="1\n2\n3\n")
+    commit(root, "cy", c="1\n2\n")  # as it was at first, but its lines were all written again
+    subprocess.run(["git", "-C", root, "rm", "-q", "d.ts"], check=True)
+    commit(root, "dee")
+    second = again()
+    assert second.blamed == 3 and told(second) == told(Engine.of_git(spark, root, policy="strict"))
+    with open(f"{root}/e.ts", "w") as f:
+        f.write("e\nnot committed\n")
+    for _ in range(2):  # as long as it has changes
+        third = again()
+        assert third.blamed == 1
+    # its own lines carry no commit: of those the time differs
+    assert told(third)[0] == told(Engine.of_git(spark, root, policy="strict"))[0]
+    commit(root, "eve", e="e\ncommitted\n")
+    assert again().blamed == 1
+    with open(f"{root}/.mailmap", "w") as f:
+        f.write("Ann Lee <lee@example.com> <ann@example.com>\n")
+    fourth = again()
+    assert fourth.blamed == 5 and "lee@example.com" in {r[4] for r in told(fourth)[0]}
+    commit(root, "map")
+    run = ["git", "-C", root, "-c", "user.name=x", "-c", "user.email=x@example.com"]
+    subprocess.run([*run, "commit", "-q", "--amend", "-m", "other"], check=True)
+    last = again()
+    assert told(last) == told(Engine.of_git(spark, root, policy="strict"))
+
+
+def test_progress_is_what_the_stats_say(spark, repository):
+    from heddle.plans.engine import Engine
+
+    heard = {}
+    e = Engine.of_git(spark, repository[0], on_progress=lambda phase, counts: heard.update({phase: counts}))
+    stats = e.repository_stats().first()
+    assert list(heard) == ["files", "lines", "authors"]
+    assert heard == {"files": {"files": stats.total_files, "analyzed": stats.analyzed_files}, "lines": {"lines": stats.total_lines}, "authors": {"authors": stats.total_authors}}
+
+
+def test_path_filters_reach_git(spark, repository, monkeypatch):
+    spark.dataSource.register(GitSource)
+    root, files = repository
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for what in ("files", "blame"):
+            read = spark.read.format("git").option("repository", root).option("what", what).option("pushdown", "true").load()
+            found = lambda condition: {r.path for r in read.filter(condition).collect()}  # noqa: E731, B023
+            assert found("path = '$.ident.ts'") == {"$.ident.ts"}
+            assert found("path IN ('café.ts', 'routes', 'none')") == {"café.ts"}
+            assert found("path LIKE 'routes/%'") == {"routes/blog/$year-$month-$day.tsx"}
+            assert found("path LIKE 'rout%'") == {"routes/blog/$year-$month-$day.tsx"}
+            assert found("path = 'café.ts' AND path LIKE 'routes/%'") == set()
+        read = spark.read.format("git").option("repository", root).option("pushdown", "true").load()
+        assert "StartsWith" not in read.filter("path LIKE 'routes/%'")._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[0]
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_tasks_are_cut_by_bytes(spark, tmp_path):
+    from heddle.sources import git
+
+    root = str(tmp_path)
+    subprocess.run(["git", "init", "-q", root], check=True)
+    commit(root, big="x\n" * 5000, **{f"s{i}": "y\n" for i in range(30)})
+    spark.dataSource.register(GitSource)
+    files = spark.read.format("git").option("repository", root).load()
+    dealt = git.blamed(files, root, task_bytes=4000, task_files=10).withColumn("task", F.spark_partition_id()).collect()
+    task = {r.path: r.task for r in dealt}
+    assert len(task) == 31 and [t for p, t in task.items() if t == task["big.ts"]] == [task["big.ts"]]
+    assert max(list(task.values()).count(t) for t in task.values()) <= 11
+    assert git.blamed(files.limit(0), root).count() == 0
