@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..storage import numbered
 from ..storage import written as stored
+from ..versions import Versions
 from . import similar
 
 #: Authors that one round folds into seeds, all that a task or a broadcast holds of other authors; such rounds before the index.
 ROUND, HEADS = 256, 3
+AUTHORS = "id long, name string, email string, display_name string"
 
 
 def upsert(seen: DataFrame) -> DataFrame:
@@ -23,6 +25,42 @@ def upsert(seen: DataFrame) -> DataFrame:
     return numbered(first, ["f.ord", "email"], "id").select("id", F.col("f.name").alias("name"), "email", S.display_name(F.col("f.name")).alias("display_name"))
 
 
+class AuthorStore:
+    """Authors kept in a folder, to which batches of lines add those not seen before; ids and names never change.
+
+    A merge writes its new authors beside the others and then a version that names them all (heddle.versions), so that readers
+    see whole batches only, and a batch that is merged again adds nothing. Files are sorted by e-mail, with Bloom filters and small
+    pages, so that a lookup reads one page of the files that may have it."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.versions = spark, Versions(spark, folder)
+
+    def authors(self) -> DataFrame:
+        """(id, name, email, display_name)"""
+        _, now = self.versions.latest()
+        parts = [self.versions.at(p) for p in now.get("parts", [])]
+        return self.spark.read.schema(AUTHORS).parquet(*parts) if parts else self.spark.createDataFrame([], AUTHORS)
+
+    def merge(self, seen: DataFrame) -> int:
+        """seen (email, name, ord) as upsert() takes it; how many authors are new. Their ids go on from the largest."""
+        number, now = self.versions.latest()
+        first = seen.groupBy("email").agg(F.min(F.struct("ord", "name")).alias("f"))
+        first = first.join(self.authors().select("email"), "email", "left_anti").select("email", "f.ord", "f.name")
+        last = now.get("last", 0)
+        new = upsert(first).withColumn("id", F.col("id") + last)
+        part = self.versions.new("authors")
+        layout = {"parquet.bloom.filter.enabled#email": "true", "parquet.page.row.count.limit": "2000"}
+        new.repartitionByRange("email").sortWithinPartitions("email").write.options(**layout).parquet(self.versions.at(part))
+        n = (self.spark.read.schema(AUTHORS).parquet(self.versions.at(part)).agg(F.max("id")).first()[0] or last) - last
+        if n:
+            self.versions.commit(number, {"parts": [*now.get("parts", []), part], "last": last + n})
+        return n
+
+    def find(self, email: str) -> DataFrame:
+        """The author of just this e-mail; row groups whose Bloom filter or range has no such e-mail are not read."""
+        return self.authors().filter(F.col("email") == email)
+
+
 def strings_similar(a: Column, b: Column, email: bool) -> Column:
     """Equal, equal without digits and . _ -, one within the other, or few edits apart for their length."""
     x, y = S.compare_key(a), S.compare_key(b)

@@ -84,14 +84,17 @@ def edited(keys: DataFrame, rule: Rule) -> DataFrame:
     last = F.least(at + i, at + more + (d - i), n - size(m, d, i))
     probe = probe.withColumns({"first": first, "last": last}).filter("first <= last").withColumn("at", F.explode(F.sequence("first", "last")))
     probe = probe.withColumn("piece", piece(F.col("text"), F.col("at"), size(m, d, i))).drop("first", "last", "at")
-    both = renamed(index, "_a", "g", "d", "i", "m", "piece").join(renamed(probe, "_b", "g", "d", "i", "m", "piece"), ["g", "d", "i", "m", "piece"])
+    on = ["g", "d", "i", "m", "piece"]
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but much to compare: not to be coalesced
+    both = renamed(index, "_a", *on).repartition(parts, *on).join(renamed(probe, "_b", *on).repartition(parts, *on), on)
     # short keys have no segments: beyond the hubs, those that are similar share a letter
     little = renamed(grams(keys.filter(n <= rule.low), 1), "_a", "g", "gram")
     other = renamed(grams(keys.filter((n > rule.low) & (n <= 2 * rule.low)), 1).withColumn("d", rule.most(n)), "_b", "g", "gram").withColumnRenamed("d_b", "d")
     cols = ("k_a", "text_a", "n_a", "set_a", "k_b", "text_b", "n_b", "set_b", "d")
     both = both.select(*cols).unionByName(little.join(other, ["g", "gram"]).filter("n_b - n_a <= d").select(*cols))
     few = F.expr("(n_a < n_b or k_a < k_b) and bit_count(set_a & ~set_b) <= d and bit_count(set_b & ~set_a) <= d")
-    return both.filter(few).filter(F.levenshtein("text_a", "text_b") <= F.col("d")).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
+    near = [F.when(d == k, F.levenshtein("text_a", "text_b", k) >= 0) for k in range(rule.low, rule.high + 1)]  # gives up beyond k edits
+    return both.filter(few).filter(F.coalesce(*near)).select(F.col("k_a").alias("a"), F.col("k_b").alias("b"))
 
 
 def pairs(keys: DataFrame, rule: Rule) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.constants import BINARY_EXTENSIONS, IGNORED_EXTENSIONS, IGNORED_NEEDLES, TITLES
 from ..operators import classify, identity, ownership
 from ..sources import porcelain, tables
+from ..storage import scratch
+from .snapshots import Snapshot
 
 
 def classify_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,21 +185,65 @@ def threshold_kb_to_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def titles_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The titles of 1 to 70 developers."""
-    rows = spark.range(1, 71).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("id") - 1)).alias("place"))
+    """Each customer's orders by price as developers by lines: their titles, and the titles looked up again by name."""
+    by = Window.partitionBy("o_custkey")
+    orders = tables.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    place = F.row_number().over(by.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long") - 1
+    rows = orders.select("o_orderkey", place.alias("place"), F.count(F.lit(1)).over(by).alias("n"))
     title = S.title_at(S.distributed_index(F.col("place"), F.col("n")))
-    return rows.select("n", "place", title.alias("title"), S.title_index(title).alias("title_index"))
+    return rows.select("o_orderkey", "n", "place", title.alias("title"), S.title_index(title).alias("title_index"))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id, line, record): each line as blame writes it."""
+    rows = tables.lines(spark, sf_dir).join(tables.people(spark, sf_dir), "person")
+    record = F.concat(F.sha1(F.concat_ws("-", "file_id", "line", "person").cast("binary")), F.format_string(" %d %d 1\nauthor %s\nauthor-mail <%s>\nauthor-time %d\nsummary author fake\n\tauthor ", "line", "line", "name", "email", F.unix_timestamp("commit_ts")), F.col("name"))
+    return rows.select("file_id", "line", record.alias("record"))
 
 
 def porcelain_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines written as blame output, and read back."""
-    who = tables.people(spark, sf_dir)
-    rows = tables.lines(spark, sf_dir).join(who, "person")
-    record = F.concat(F.sha1(F.concat_ws("-", "file_id", "line", "person").cast("binary")), F.format_string(" %d %d 1\nauthor %s\nauthor-mail <%s>\nauthor-time %d\nsummary author fake\n\tauthor ", "line", "line", "name", "email", F.unix_timestamp("commit_ts")), F.col("name"))
-    texts = rows.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_list(record)), "\n").alias("porcelain"))
-    texts = texts.select(F.concat(F.lit("f"), "file_id").alias("path"), "porcelain")
+    texts = _records(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", "record"))).alias("all"))
+    texts = texts.select(F.concat(F.lit("f"), "file_id").alias("path"), F.array_join("all.record", "\n").alias("porcelain"))
     texts = texts.unionByName(spark.createDataFrame([("literal", LITERAL)], "path string, porcelain string"))
-    return porcelain.parse(texts).withColumn("line_number", F.when(F.col("path") == "literal", F.col("line_number")))  # of others the order is by hash
+    return porcelain.parse(texts)
+
+
+def porcelain_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines as files of many orders each, read back from wherever Spark cuts these."""
+    out = scratch(spark)
+    rows = _records(spark, sf_dir).withColumn("tree", F.floor(F.col("file_id") / 4096))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartition(n, "tree").sortWithinPartitions("tree", "file_id", "line", "record").select("tree", "record").write.partitionBy("tree").text(out)
+    return porcelain.parse_files(spark, out, F.regexp_extract("_metadata.file_path", "/tree=([0-9]+)/", 1))
+
+
+def reanalyzed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and their lines after two analyses into one snapshot, the second of which reads only files with lines since the first;
+    kept: their lines are still those that the first has written."""
+    known, every = tables.files(spark, sf_dir).select("file_id", "path"), tables.lines(spark, sf_dir)
+    at = scratch(spark)
+    for lines in (every.filter(F.col("commit_ts") < "1995-06-17"), every):
+        counts = lines.groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.max("commit_ts").alias("last"))
+        files = known.join(counts, "file_id", "left").select("file_id", "path", F.concat_ws("@", F.coalesce("n", F.lit(0)), "last").alias("version"))
+        snapshot = Snapshot(spark, at, lambda some, lines=lines: some.select("file_id", "path").join(lines, "file_id").select("path", "line", "person"))
+        snapshot.refresh(files)
+    first = snapshot.versions.latest()[1]["segments"][0]
+    totals = snapshot.lines().groupBy("path").agg(F.count(F.lit(1)).alias("total_lines"))
+    return snapshot.index().join(totals, "path", "left").select("path", F.coalesce("total_lines", F.lit(0)).alias("total_lines"), (F.col("segment") == first).alias("kept"))
+
+
+def authors_merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authors after lines came in four batches, by year; who has an id keeps it."""
+    store = identity.AuthorStore(spark, scratch(spark))
+    named = tables.lines(spark, sf_dir).join(tables.people(spark, sf_dir), "person")
+    for i, until in enumerate(["", *BATCHES]):
+        batch = named.filter((F.col("commit_ts") >= until) if until else F.lit(True)).filter(F.col("commit_ts") < BATCHES[i] if i < len(BATCHES) else F.lit(True))
+        store.merge(batch.select("email", "name", F.struct("commit_ts", "file_id", "line").alias("ord")))
+    return store.authors()
+
+
+BATCHES = ("1992-02-01", "1992-03-01", "1994-01-01")
 
 
 #: A subject with a tab; content with a carriage return, line separators and next lines; blank content; content like a header.
@@ -207,7 +253,7 @@ LITERAL = "\n".join(
 )
 
 
-QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse)}
+QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse, porcelain_parse_files, reanalyzed_files, authors_merged_batches)}
 
 
 def _values(xs) -> str:
@@ -343,11 +389,20 @@ ORACLES = {
       upper(filename[1]) || filename[2:] AS capital, CASE WHEN length(long_name) > 30 THEN long_name[1:27] || '...' ELSE long_name END AS short, format('{{:,}}', author_id * 12345) AS thousands,
       least(100, percentage) AS progress FROM c2""",
     "threshold_kb_to_bytes": "SELECT p_partkey, coalesce(CASE WHEN p_size % 5 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 2 END, 50.0::DOUBLE) * 1024 AS threshold_bytes FROM part",
-    "titles_by_place": f"""WITH g AS (SELECT n, unnest(range(n)) AS place, greatest(1, n // 5) AS fifth FROM (SELECT unnest(range(1, 71)) AS n)),
-      p AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 49 * place WHEN n = 3 THEN [0, 12, 38][place + 1] WHEN place < fifth THEN place WHEN place < n - fifth THEN 12 + place - fifth ELSE 38 + place - (n - fifth) END AS spot FROM g)
-      SELECT n, place, CASE WHEN spot < {len(TITLES)} THEN [{_values(TITLES)}][spot + 1] ELSE 'unknown' END AS title, CASE WHEN spot < {len(TITLES)} THEN spot ELSE -1 END::BIGINT AS title_index FROM p""",
+    "titles_by_place": f"""WITH g AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+      h AS (SELECT *, greatest(1, n // 5) AS fifth FROM g),
+      p AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN n = 2 THEN 49 * place WHEN n = 3 THEN [0, 12, 38][place + 1] WHEN place < fifth THEN place WHEN place < n - fifth THEN 12 + place - fifth ELSE 38 + place - (n - fifth) END AS spot FROM h)
+      SELECT o_orderkey, n, place, CASE WHEN spot < {len(TITLES)} THEN [{_values(TITLES)}][spot + 1] ELSE 'unknown' END AS title, CASE WHEN spot < {len(TITLES)} THEN spot ELSE -1 END::BIGINT AS title_index FROM p""",
+    "porcelain_parse_files": f"""WITH {PEOPLE} SELECT (l_orderkey // 4096)::VARCHAR AS path, 'author ' || name AS content, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey % 400) AS hash, name, email,
+      epoch(l_shipdate)::BIGINT AS epoch, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date, (row_number() OVER (PARTITION BY l_orderkey // 4096 ORDER BY l_orderkey, l_linenumber, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey % 400), l_shipdate))::INT AS line_number
+      FROM lineitem JOIN people ON l_partkey % 400 = person""",
+    "reanalyzed_files": f"""WITH {FILES} SELECT path, count(l_orderkey) AS total_lines, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '1995-06-17') = 0 AS kept FROM files0 LEFT JOIN lineitem ON l_orderkey = file_id GROUP BY path""",
+    "authors_merged_batches": f"""WITH {PEOPLE}, named AS (SELECT email, name, l_shipdate AS t, l_orderkey AS f, l_linenumber AS l,
+      {' + '.join(f"(l_shipdate >= TIMESTAMP '{d}')::INT" for d in BATCHES)} AS batch FROM lineitem JOIN people ON l_partkey % 400 = person),
+      firsts AS (SELECT email, min((batch, t, f, l, name)) AS x FROM named GROUP BY email)
+      SELECT row_number() OVER (ORDER BY x[1], x[2], x[3], x[4], email) AS id, x[5] AS name, email, x[5] AS display_name FROM firsts""",
     "porcelain_parse": f"""WITH {PEOPLE} SELECT 'f' || l_orderkey AS path, 'author ' || name AS content, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey % 400) AS hash, name, email,
-      epoch(l_shipdate)::BIGINT AS epoch, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date, NULL::INT AS line_number FROM lineitem JOIN people ON l_partkey % 400 = person
+      epoch(l_shipdate)::BIGINT AS epoch, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey % 400), l_shipdate))::INT AS line_number FROM lineitem JOIN people ON l_partkey % 400 = person
       UNION ALL SELECT 'literal', content, repeat(h, 40), 'Jörg' || chr(160) || 'Müller', 'j@x.example', 86400 * day, strftime(TIMESTAMP '1970-01-01' + to_days(day), '%Y-%m-%dT%H:%M:%S') || '.000Z', n FROM (VALUES
         ('one' || chr(13), 'a', 0, 1), ('two' || chr(8232) || 'author three' || chr(133) || 'four', 'b', 1, 2), (chr(9) || repeat('0', 40) || ' 1 1', 'd', 3, 3), ('author five', 'e', 4, 4)) v(content, h, day, n)""",
 }

@@ -186,3 +186,57 @@ def test_tasks_are_cut_by_bytes(spark, tmp_path):
     assert len(task) == 31 and [t for p, t in task.items() if t == task["big.ts"]] == [task["big.ts"]]
     assert max(list(task.values()).count(t) for t in task.values()) <= 11
     assert git.blamed(files.limit(0), root).count() == 0
+
+
+@pytest.mark.parametrize("size", ["64b", "300b", "1k", "128m"])
+def test_outputs_cut_anywhere(spark, tmp_path, size):
+    """Against parse() over whole texts: records across cuts, content that looks like a header or an author, blanks at the end."""
+    texts = {
+        "a": TEXT * 7, "b/c d": TEXT.replace("author-mail <ann@x.org>", "author-mail <long" + "x" * 400 + "@x.org>") * 3, "empty": "", "one": TEXT[: TEXT.index("\n" + "b" * 40)] + "  \n \n",
+        "odd": TEXT.replace("\t\tdeep", "\t" + "c" * 40 + " 1 1 author Z").replace("summary author fake", "summary x\tauthor y\nprevious " + "d" * 40 + " f") * 4, "open": (TEXT * 2).rstrip("\n"),
+    }
+    for name, text in texts.items():
+        (tmp_path / name.replace("/", "%2F").replace(" ", "%20")).write_bytes(text.encode())
+    want = porcelain.parse(porcelain.read(spark, str(tmp_path)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = porcelain.parse_files(spark, str(tmp_path)).select(*want.columns)
+        rows = sorted(map(str, got.collect()))
+        assert rows == sorted(map(str, want.collect())) and len(rows) > 30
+        if size == "64b":
+            assert spark.read.option("lineSep", porcelain.BETWEEN).text(str(tmp_path)).rdd.getNumPartitions() > 30
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_snapshot_compacts_and_keeps_whole_versions(spark, tmp_path):
+    from heddle.plans.snapshots import Snapshot
+
+    schema = "path string, version string"
+    asked = []
+
+    def read(some):
+        asked.append(sorted(r.path for r in some.collect()))
+        return some.select("path", F.concat("path", "version").alias("content"))
+
+    snapshot = Snapshot(spark, f"file://{tmp_path}/s", read, most=2)
+    held = {}
+    for i in range(6):
+        held |= {"a": str(i), f"n{i}": "0"}
+        held.pop(f"n{i - 2}", None)
+        n = snapshot.refresh(spark.createDataFrame([*held.items(), ("none", None)], schema), {"i": i})
+        assert (n, asked[-1]) == (3, ["a", f"n{i}", "none"]) and snapshot.state() == {"i": i}
+        assert sorted(r.content for r in snapshot.lines().filter("content is not null").collect()) == sorted(k + v for k, v in held.items())
+        assert len(snapshot.versions.latest()[1]["segments"]) <= 2
+    assert snapshot.refresh(spark.createDataFrame(list(held.items()), schema)) == 0
+    folders = {p.name for p in (tmp_path / "s" / "lines").iterdir()}
+    assert len(folders) <= 5  # of the last versions only
+
+    number, now = snapshot.versions.latest()
+    with pytest.raises(RuntimeError, match="there already"):
+        snapshot.versions.commit(number - 1, now)
+    (tmp_path / "s" / "_versions" / f"{number + 1:012d}.json").write_text('{"half')  # another is writing just now
+    assert snapshot.versions.latest() == (number, now)
+    assert Snapshot(spark, f"file://{tmp_path}/t", read).refresh(spark.createDataFrame([], schema)) == 0
