@@ -15,6 +15,23 @@ def line_counts(blame: DataFrame) -> DataFrame:
     return each.groupBy(F.col("author_id").alias("id")).agg(F.sum("n").alias("total_lines"), F.count("file_id").alias("total_files"))
 
 
+def file_bitmaps(blame: DataFrame) -> DataFrame:
+    """(author_id, bucket, files, lines): an author's files as exact bitmaps of 32,768 file numbers each. file_id must be dense, as
+    numbers counted from 1 are; a bitmap holds any number of files of its bucket in 4 KB, mostly zeros that compress away."""
+    bucket, bit = F.bitmap_bucket_number("file_id").alias("bucket"), F.bitmap_bit_position("file_id")
+    return blame.groupBy("author_id", bucket).agg(F.bitmap_construct_agg(bit).alias("files"), F.count(F.lit(1)).alias("lines"))
+
+
+def merged_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """The bitmaps of days, or of parts of a tree, as those of all: a file that several have counts once, lines add up."""
+    return bitmaps.groupBy("author_id", "bucket").agg(F.bitmap_or_agg("files").alias("files"), F.sum("lines").alias("lines"))
+
+
+def counts_of_bitmaps(bitmaps: DataFrame) -> DataFrame:
+    """line_counts() of merged bitmaps."""
+    return bitmaps.groupBy(F.col("author_id").alias("id")).agg(F.sum("lines").alias("total_lines"), F.sum(F.bitmap_count("files")).alias("total_files"))
+
+
 def contributions(authors: DataFrame, blame: DataFrame) -> DataFrame:
     """Canonical authors with lines: total_lines, total_files, percentage, rank by lines (ties by id) and title."""
     out = authors.filter("is_canonical").select("id", "name", "email", "display_name").join(line_counts(blame), "id")

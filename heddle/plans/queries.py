@@ -10,6 +10,7 @@ from ..functions.constants import BINARY_EXTENSIONS, IGNORED_EXTENSIONS, IGNORED
 from ..operators import classify, identity, ownership
 from ..sources import porcelain, tables
 from ..storage import scratch
+from ..streaming import ownership as arrivals
 from .snapshots import Snapshot
 
 
@@ -246,6 +247,33 @@ def authors_merged_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCHES = ("1992-02-01", "1992-03-01", "1994-01-01")
 
 
+def author_files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and distinct files of each person, from bitmaps of each half of the years that are stored and then merged."""
+    own = tables.lines(spark, sf_dir).select(F.col("person").alias("author_id"), "file_id", "commit_ts")
+    early = F.col("commit_ts") < "1995-06-17"
+    halves = [identity.stored(ownership.file_bitmaps(own.filter(half))) for half in (early, ~early)]
+    return ownership.counts_of_bitmaps(ownership.merged_bitmaps(halves[0].unionByName(halves[1])))
+
+
+def streamed_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and files by e-mail, after the blame outputs of all files arrived twice in a stream: as they were in mid-1995, and, of
+    those that changed since, as they are."""
+    every, at = _records(spark, sf_dir).join(tables.lines(spark, sf_dir).groupBy("file_id", "line").agg(F.max("commit_ts").alias("commit_ts")), ["file_id", "line"]), scratch(spark)
+    every = every.withColumn("path", F.concat(F.lit("t"), F.floor(F.col("file_id") / 64)))
+    made, changed = F.col("commit_ts") < "1995-06-17", spark.createDataFrame([], "path string, email string, lines long, files long")
+    schema = "path string, porcelain string, modified timestamp"
+    for i, lines in enumerate((every.filter(made), every)):
+        texts = lines.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("file_id", "line", "record")))["record"], "\n").alias("porcelain"), F.max("commit_ts").alias("last"))
+        if i:
+            texts = texts.filter(F.col("last") >= "1995-06-17")
+        texts.select("path", "porcelain", F.timestamp_seconds(F.lit(i)).alias("modified")).write.mode("append").parquet(f"{at}/texts")
+        arriving = spark.readStream.schema(schema).parquet(f"{at}/texts")
+        heard: list[DataFrame] = []
+        arrivals.totals(arriving, f"{at}/changes", f"{at}/checkpoint", heard.append).awaitTermination()
+        changed = heard[-1] if heard else changed
+    return arrivals.by_author(changed)
+
+
 #: A subject with a tab; content with a carriage return, line separators and next lines; blank content; content like a header.
 LITERAL = "\n".join(
     f"{'abcde'[i] * 40} {i + 1} {i + 1} 1\nauthor Jörg\xa0Müller\nauthor-mail <j@x.example>\nauthor-time {86400 * i}\nsummary fix\tbug\tauthor no one\nprevious {'f' * 40} a b\nfilename a b\n\t{content}"
@@ -253,7 +281,7 @@ LITERAL = "\n".join(
 )
 
 
-QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse, porcelain_parse_files, reanalyzed_files, authors_merged_batches)}
+QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse, porcelain_parse_files, reanalyzed_files, authors_merged_batches, author_files_merged, streamed_contributions)}
 
 
 def _values(xs) -> str:
@@ -397,6 +425,8 @@ ORACLES = {
       epoch(l_shipdate)::BIGINT AS epoch, strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') || '.000Z' AS commit_date, (row_number() OVER (PARTITION BY l_orderkey // 4096 ORDER BY l_orderkey, l_linenumber, sha1(l_orderkey || '-' || l_linenumber || '-' || l_partkey % 400), l_shipdate))::INT AS line_number
       FROM lineitem JOIN people ON l_partkey % 400 = person""",
     "reanalyzed_files": f"""WITH {FILES} SELECT path, count(l_orderkey) AS total_lines, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '1995-06-17') = 0 AS kept FROM files0 LEFT JOIN lineitem ON l_orderkey = file_id GROUP BY path""",
+    "author_files_merged": "SELECT l_partkey % 400 AS id, count(*) AS total_lines, count(DISTINCT l_orderkey) AS total_files FROM lineitem GROUP BY 1",
+    "streamed_contributions": f"WITH {PEOPLE} SELECT email, count(*) AS total_lines, count(DISTINCT l_orderkey // 64) AS total_files FROM lineitem JOIN people ON l_partkey % 400 = person GROUP BY email",
     "authors_merged_batches": f"""WITH {PEOPLE}, named AS (SELECT email, name, l_shipdate AS t, l_orderkey AS f, l_linenumber AS l,
       {' + '.join(f"(l_shipdate >= TIMESTAMP '{d}')::INT" for d in BATCHES)} AS batch FROM lineitem JOIN people ON l_partkey % 400 = person),
       firsts AS (SELECT email, min((batch, t, f, l, name)) AS x FROM named GROUP BY email)

@@ -22,9 +22,12 @@ def _author_line() -> Column:
     return F.concat(place, F.lit(" "), F.rpad("display_name", 25, " "), F.lit(" "), S.bar(F.col("percentage"), 20), F.format_string(" %s%% (%s lines) [%s] %s", F.col("percentage").cast("string"), S.thousands(F.col("total_lines")), F.col("title"), F.col("email")))
 
 
+def _overview() -> Column:
+    return F.format_string("Files %s, analyzed %s, binary %s, ignored %s, large %s, lines %s, authors %s", *(S.thousands(F.col(c)) for c in ("total_files", "analyzed_files", "binary_files", "ignored_files", "large_files", "total_lines", "total_authors")))
+
+
 def overview(engine: Engine) -> str:
-    one = engine.repository_stats().select(F.format_string("Files %s, analyzed %s, binary %s, ignored %s, large %s, lines %s, authors %s", *(S.thousands(F.col(c)) for c in ("total_files", "analyzed_files", "binary_files", "ignored_files", "large_files", "total_lines", "total_authors"))))
-    return one.first()[0]
+    return engine.repository_stats().select(_overview()).first()[0]
 
 
 def _first(rows: DataFrame, most: int | None) -> Iterator[Row]:
@@ -42,6 +45,15 @@ def simple(engine: Engine, most: int | None = None) -> str:
     return "\n".join([overview(engine), *(r[0] for r in _first(engine.author_contributions().select(_author_line()), most))])
 
 
+def write(engine: Engine, folder: str) -> None:
+    """extended() of all authors as text files, in the order of their names; Spark's tasks write them, so that the driver holds
+    no line. The overview is the first line of the first file."""
+    rows = engine.extended_report().select(F.col("rank").cast("long").alias("rank"), F.concat(F.array(_author_line()), F.coalesce(F.transform("top_files", _file_line), F.array().cast("array<string>"))).alias("all"))
+    rows = rows.select("rank", F.posexplode("all").alias("at", "value"))
+    first = engine.repository_stats().select(F.lit(0).cast("long").alias("rank"), F.lit(0).alias("at"), _overview().alias("value"))
+    rows.unionByName(first).orderBy("rank", "at").select("value").write.text(folder)
+
+
 def developer(engine: Engine, email: str) -> str:
     """The author whom the e-mail belongs to, with fifteen files."""
     found = engine.find_canonical_author(email)

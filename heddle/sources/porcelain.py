@@ -16,6 +16,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.url_decode("_metadata.file_name").alias("path"), F.col("value").alias("porcelain"))
 
 
+def emails(text: Column) -> Column:
+    """The authors' e-mails of an output's lines that are not blank, one a line."""
+    records = F.filter(F.split(S.trimmed(F.coalesce(text, F.lit(""))), HEADER), lambda r: r.rlike(rf"\n\t[{S.SPACE}&&[^\n]]*[^{S.SPACE}]"))
+    return F.transform(records, lambda r: S.clean_email(S.trimmed(F.regexp_extract(F.substring_index(r, "\n\t", 1), r"(?dm)^author-mail (.*)$", 1))))
+
+
 #: What stands between the rows of parse_files(): each has one record from its author on, and the first line of the next.
 BETWEEN = "\nauthor "
 

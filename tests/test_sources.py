@@ -240,3 +240,29 @@ def test_snapshot_compacts_and_keeps_whole_versions(spark, tmp_path):
     (tmp_path / "s" / "_versions" / f"{number + 1:012d}.json").write_text('{"half')  # another is writing just now
     assert snapshot.versions.latest() == (number, now)
     assert Snapshot(spark, f"file://{tmp_path}/t", read).refresh(spark.createDataFrame([], schema)) == 0
+
+
+def test_distinct_files_merge_exactly(spark):
+    from heddle.operators import ownership
+
+    rows = [(a, f) for a in range(7) for f in range(1, 90000, 11 + a)] + [(9, 5)] * 3
+    blame = spark.createDataFrame(rows, "author_id long, file_id long")
+    parts = [ownership.file_bitmaps(blame.filter(f"file_id % 3 {which}")) for which in ("= 0", "<> 0", "= 1")]  # the last is counted twice
+    merged = ownership.merged_bitmaps(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    again = ownership.merged_bitmaps(merged.unionByName(parts[0]))
+    want = {a: len({f for b, f in rows if b == a}) for a in {a for a, _ in rows}}
+    assert {r.id: r.total_files for r in ownership.counts_of_bitmaps(again).collect()} == want
+    first = ownership.counts_of_bitmaps(ownership.file_bitmaps(blame)).orderBy("id").collect()
+    assert first == ownership.line_counts(blame).orderBy("id").select(*first[0].__fields__).collect()
+
+
+def test_report_as_files(spark, tmp_path):
+    from heddle.plans import report
+    from heddle.plans.engine import Engine
+
+    rows = [(f"f{i % 50:02}.ts", i, "x", "h", f"n{i % 40:02}q{i % 40:02}", f"m{i % 40}@{i % 40}.org", 1, "d") for i in range(1000)]
+    lines = spark.createDataFrame(rows, "path string, line_number int, content string, hash string, name string, email string, epoch long, commit_date string")
+    engine = Engine.of(spark.createDataFrame([(f"f{i:02}.ts", 100) for i in range(50)], "path string, size long"), lines, policy="strict")
+    report.write(engine, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*"))
+    assert "".join(f.read_text() for f in files).splitlines() == report.extended(engine).splitlines() and len(files) >= 1
