@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import math
 from collections import Counter
 
@@ -95,3 +97,16 @@ def test_double_precision_and_clashing_names(spark):
     rows = [(1, [1.0, 0.0], 1, 5), (2, [1.0, 1e-9], 1, 6), (3, [0.0, 1.0], 1, 7)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, node int").withColumns({"key": N.F.lit(1), "cid": N.F.lit(2), "n": N.F.lit(3)})
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in N.linked(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_labels_of_any_type(spark):
+    import warnings
+
+    rows = [(i, [1.0, 0.0, 0.01 * i]) for i in range(6)]
+    for kind, labels in (("double", [1.2, 1.2, 1.7, 1.7, 2.0, None]), ("string", ["a", "a", "b", "b", "1", None]), ("boolean", [True, True, False, False, None, None]), ("decimal(5,2)", [*map(Decimal, ("1.20", "1.2", "1.7", "1.70", "2"))] + [None])):
+        df = spark.createDataFrame([(*r, x) for r, x in zip(rows, labels)], f"vec_id long, embedding array<double>, label {kind}")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in N.linked(df).collect()}
+        assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5)}, kind
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert N.buckets(N.unit(np.ones((2, 4))), -(1 << 63)).shape == (2, N.TABLES, N.PROBES)
