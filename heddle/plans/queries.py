@@ -133,6 +133,13 @@ def ranked_authors_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("id", "display_name", "canonical_id", "is_canonical", "rank", "percentage", "title")
 
 
+def author_file_contributions_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of canonical authors, with the lines of those merged into them; a file's total is of these lines."""
+    authors = identity.stored(identity.normalize(_teams(spark, sf_dir), "loose"))
+    blame = _team_lines(spark, sf_dir, authors)
+    return ownership.file_contributions(classify.with_total_lines(tables.files(spark, sf_dir), blame), blame)
+
+
 def developers_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     authors = identity.stored(identity.normalize(_teams(spark, sf_dir), "loose"))
     return ownership.developers(authors, _team_lines(spark, sf_dir, authors))
@@ -281,7 +288,7 @@ LITERAL = "\n".join(
 )
 
 
-QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse, porcelain_parse_files, reanalyzed_files, authors_merged_batches, author_files_merged, streamed_contributions)}
+QUERIES = {f.__name__: f for f in (classify_files, repository_stats, file_line_counts, author_contributions, author_ranking_titles, author_file_contributions, extended_report_top5, developer_report_top15, pie_top10_others, glorious_lowly, authors_upsert, normalize_strict, normalize_loose, author_aliases, all_authors, find_canonical_author, inactive_authors, author_contributions_loose, author_file_contributions_loose, ranked_authors_loose, developers_loose, nth_author, clean_names, nonblank_lines, commit_iso_dates, display_scalars, threshold_kb_to_bytes, titles_by_place, porcelain_parse, porcelain_parse_files, reanalyzed_files, authors_merged_batches, author_files_merged, streamed_contributions)}
 
 
 def _values(xs) -> str:
@@ -398,6 +405,10 @@ ORACLES = {
     "inactive_authors": f"""WITH {STRICT} SELECT id, email FROM merged WHERE id = canonical_id AND id NOT IN
       (SELECT m.canonical_id FROM lineitem JOIN merged m ON l_partkey % 400 = m.id WHERE l_shipdate < TIMESTAMP '1992-02-01')""",
     "author_contributions_loose": f"""WITH {TEAMS} SELECT id, name, email, display_name, total_lines, total_files, rank::INT AS rank, percentage, title FROM titled JOIN names USING (id)""",
+    "author_file_contributions_loose": f"""WITH {TEAMS}, whole AS (SELECT file_id, count(*) AS total_lines FROM own GROUP BY file_id),
+      part AS (SELECT id AS author_id, file_id, count(*) AS author_lines FROM own GROUP BY 1, 2)
+      SELECT author_id, string_split(path, '/')[-1] AS filename, path, author_lines, total_lines,
+      floor(CAST(author_lines AS DOUBLE) / CAST(total_lines AS DOUBLE) * 100 + CAST(0.5 AS DOUBLE))::BIGINT AS percentage FROM part JOIN whole USING (file_id) JOIN files USING (file_id)""",
     "ranked_authors_loose": f"""WITH {TEAMS} SELECT c.id, c.display_name, canonical_id, c.id = canonical_id AS is_canonical, rank::INT AS rank, coalesce(percentage, 0.0::DOUBLE) AS percentage, title
       FROM chosen c LEFT JOIN titled t USING (id)""",
     "developers_loose": f"WITH {TEAMS} SELECT count(*) AS n_developers, (SELECT count(*) FROM names) AS n_authors FROM titled",
