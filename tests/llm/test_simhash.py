@@ -88,3 +88,42 @@ def test_odd_rows(spark):
     got = sorted(((x.doc_id, x.component_id) for x in simhash.components_of(df).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (None, 1), (None, None), (3, 3), (3, 3)], key=str)
     assert simhash.components_of(df.limit(0)).count() == 0
+
+
+def near_one(n, seed=9):
+    """n fingerprints within 6 bits of one."""
+    r, out, middle = random.Random(seed), set(), random.Random(1).getrandbits(64)
+    while len(out) < n:
+        out.add(middle ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 6))))
+    return [*out]
+
+
+def signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def test_large_keys(spark):
+    """Keys that are widened, and cut into blocks, lose no link."""
+    r = random.Random(4)
+    fps = near_one(250)
+    a = r.getrandbits(21)  # one first segment for all, others apart
+    fps += [a | r.getrandbits(43) << 21 for _ in range(60)]
+    fps += [f ^ sum(1 << k for k in r.sample(range(64), e)) for f in fps[-60:] for e in (4, 5)]
+    rows = [*enumerate(dict.fromkeys(fps))]
+    df = spark.createDataFrame([(d, signed(f)) for d, f in rows], "doc_id long, fp long")
+    want = brute(rows)
+    for block in (3, 40, 4096):
+        got = {x.fp & (1 << 64) - 1: x.component_id for x in simhash.linked(df, block=block).collect()}
+        assert {d: got[f] for d, f in rows} == want
+
+
+def test_rows_grow_with_rows(spark):
+    """Of a dense group, rows to compare; rows of what is found are fewer."""
+    made, found = [], []
+    for n in (1000, 2000, 4000):
+        df = spark.createDataFrame([(signed(f), d) for d, f in enumerate(near_one(n))], "fp long, part long")
+        rows = simhash.written(simhash.dealt(df, 4096))
+        made.append(rows.count())
+        found.append(simhash.united(rows, 4).count())
+    assert made[1] < 2.2 * made[0] and made[2] < 2.2 * made[1]
+    assert all(f < m for f, m in zip(found, made))
