@@ -203,15 +203,16 @@ def titles_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file_id, line, record): each line as blame writes it."""
-    rows = tables.lines(spark, sf_dir).join(tables.people(spark, sf_dir), "person")
-    record = F.concat(F.sha1(F.concat_ws("-", "file_id", "line", "person").cast("binary")), F.format_string(" %d %d 1\nauthor %s\nauthor-mail <%s>\nauthor-time %d\nsummary author fake\n\tauthor ", "line", "line", "name", "email", F.unix_timestamp("commit_ts")), F.col("name"))
-    return rows.select("file_id", "line", record.alias("record"))
+    """(file_id, line, hash, commit_ts, record): each line as blame writes it. A file's lines are in the order of the first four: records
+    hold their time in decimal, whose order as text is not that of time."""
+    rows = tables.lines(spark, sf_dir).join(tables.people(spark, sf_dir), "person").withColumn("hash", F.sha1(F.concat_ws("-", "file_id", "line", "person").cast("binary")))
+    record = F.concat("hash", F.format_string(" %d %d 1\nauthor %s\nauthor-mail <%s>\nauthor-time %d\nsummary author fake\n\tauthor ", "line", "line", "name", "email", F.unix_timestamp("commit_ts")), F.col("name"))
+    return rows.select("file_id", "line", "hash", "commit_ts", record.alias("record"))
 
 
 def porcelain_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's lines written as blame output, and read back."""
-    texts = _records(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", "record"))).alias("all"))
+    texts = _records(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", "hash", "commit_ts", "record"))).alias("all"))
     texts = texts.select(F.concat(F.lit("f"), "file_id").alias("path"), F.array_join("all.record", "\n").alias("porcelain"))
     texts = texts.unionByName(spark.createDataFrame([("literal", LITERAL)], "path string, porcelain string"))
     return porcelain.parse(texts)
@@ -222,7 +223,7 @@ def porcelain_parse_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark)
     rows = _records(spark, sf_dir).withColumn("tree", F.floor(F.col("file_id") / 4096))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(n, "tree").sortWithinPartitions("tree", "file_id", "line", "record").select("tree", "record").write.partitionBy("tree").text(out)
+    rows.repartition(n, "tree").sortWithinPartitions("tree", "file_id", "line", "hash", "commit_ts").select("tree", "record").write.partitionBy("tree").text(out)
     return porcelain.parse_files(spark, out, F.regexp_extract("_metadata.file_path", "/tree=([0-9]+)/", 1))
 
 
@@ -265,8 +266,7 @@ def author_files_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and files by e-mail, after the blame outputs of all files arrived twice in a stream: as they were in mid-1995, and, of
     those that changed since, as they are."""
-    every, at = _records(spark, sf_dir).join(tables.lines(spark, sf_dir).groupBy("file_id", "line").agg(F.max("commit_ts").alias("commit_ts")), ["file_id", "line"]), scratch(spark)
-    every = every.withColumn("path", F.concat(F.lit("t"), F.floor(F.col("file_id") / 64)))
+    every, at = _records(spark, sf_dir).withColumn("path", F.concat(F.lit("t"), F.floor(F.col("file_id") / 64))), scratch(spark)
     made, changed = F.col("commit_ts") < "1995-06-17", spark.createDataFrame([], "path string, email string, lines long, files long")
     schema = "path string, porcelain string, modified timestamp"
     for i, lines in enumerate((every.filter(made), every)):

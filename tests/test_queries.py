@@ -77,3 +77,17 @@ def test_a_cluster_must_name_the_shared_folder():
     cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="local-cluster[2,1,1024]", applicationId="app"))
     with pytest.raises(ValueError):
         storage.home(cluster)
+
+
+@pytest.mark.parametrize("name", ["porcelain_parse", "porcelain_parse_files"])
+def test_lines_of_one_place_are_in_order_of_time(spark, tmp_path, name):
+    """Two lines of one order, number and person, before and after second 1,000,000,000, whose digits sort the other way."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT 5::BIGINT AS p_partkey, 'small widget' AS p_name, 'Brand#1' AS p_brand")
+    con.execute("CREATE VIEW lineitem AS SELECT 7::BIGINT AS l_orderkey, 5::BIGINT AS l_partkey, 1 AS l_linenumber, unnest([TIMESTAMP '2001-09-10', TIMESTAMP '2001-09-08', TIMESTAMP '1969-12-30']) AS l_shipdate")
+    for t in ("part", "lineitem"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet'")
+    df = Q.QUERIES[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    want = con.sql(Q.ORACLES[name]).select(*(f'"{c}"' for c in columns)).fetchall()
+    assert Counter(map(tuple, df.select(*columns).collect())) == Counter(want)
