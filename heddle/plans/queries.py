@@ -116,7 +116,7 @@ def _teams(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _team_lines(spark: SparkSession, sf_dir: str, authors: DataFrame) -> DataFrame:
     """Lines of analyzed files, but of every tenth team none, with their canonical authors."""
     known = classify.analyzed(classify.classify(tables.files(spark, sf_dir))).select("file_id")
-    own = tables.lines(spark, sf_dir).filter("floor(person / 3) % 10 <> 0").join(known, "file_id", "left_semi")
+    own = tables.lines_by_file(spark, sf_dir).filter("floor(person / 3) % 10 <> 0").join(known, "file_id", "left_semi")
     return identity.repointed(own.select(F.col("person").alias("author_id"), "file_id"), authors)
 
 

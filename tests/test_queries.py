@@ -91,3 +91,19 @@ def test_lines_of_one_place_are_in_order_of_time(spark, tmp_path, name):
     columns = sorted(df.columns)
     want = con.sql(Q.ORACLES[name]).select(*(f'"{c}"' for c in columns)).fetchall()
     assert Counter(map(tuple, df.select(*columns).collect())) == Counter(want)
+
+
+@pytest.mark.parametrize("loose", [False, True])
+def test_tasks_stay_small_as_the_table_grows(spark, monkeypatch, loose):
+    """However few shuffle partitions are set, no task joins and groups more than some rows."""
+    from heddle import storage
+    from heddle.operators import identity
+    from heddle.sources import tables
+
+    monkeypatch.setattr(storage, "ROWS", 250, raising=False)
+    if loose:
+        blame = Q._team_lines(spark, SF, identity.stored(identity.normalize(Q._teams(spark, SF), "loose")))
+    else:
+        blame = tables.load(spark, SF).blame
+    by_task = Counter(r[0] for r in blame.selectExpr("spark_partition_id()").collect())
+    assert sum(by_task.values()) > 1000 and max(by_task.values()) < 150
