@@ -110,8 +110,13 @@ def is_blank(line: Column) -> Column:
     return line.rlike(rf"^[{SPACE}]*\z")
 
 
+#: The characters of SPACE.
+BLANKS = "\t\n\x0b\f\r \xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trimmed(s: Column) -> Column:
-    return F.regexp_replace(s, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    """Without SPACE at both ends; only the ends are looked at, however long the text."""
+    return F.btrim(s, F.lit(BLANKS))
 
 
 def display_name(name: Column) -> Column:

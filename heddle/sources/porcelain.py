@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-#: (?d): lines end at \n alone, whatever else content and subjects hold.
-HEADER = r"(?dm)(?=^[0-9a-f]{40,64} [0-9]+ [0-9]+)"
+#: What ends a record, before the next one's first line. Lines end at \n alone, whatever else content and subjects hold.
+HEADER = r"\n(?=[0-9a-f]{40,64} [0-9]+ [0-9]+)"
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

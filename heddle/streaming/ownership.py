@@ -81,14 +81,15 @@ def changes(stream: DataFrame) -> DataFrame:
         for frame in frames:
             for modified, emails in zip(frame["modified"], frame["emails"]):
                 if last is None or modified >= last:
-                    last, new = float(modified), Counter(emails)
+                    last, new = float(modified), Counter(emails.split("\n")[:-1])
         if last is not None:
             state.update((last, json.dumps(new)))
-        rows = [(key[0], e, new.get(e, 0) - old.get(e, 0), (e in new) - (e in old)) for e in {**old, **new}]
-        yield pd.DataFrame([r for r in rows if r[2] or r[3]], columns=["path", "email", "lines", "files"])
+        changed = [e for e in {**old, **new} if new.get(e, 0) != old.get(e, 0)]
+        lines, files = [new.get(e, 0) - old.get(e, 0) for e in changed], [(e in new) - (e in old) for e in changed]
+        yield pd.DataFrame({"path": [key[0]] * len(changed), "email": changed, "lines": lines, "files": files})
 
     time = F.coalesce(F.unix_micros("modified").cast("double"), F.lit(0.0))
-    rows = stream.select("path", time.alias("modified"), porcelain.emails(F.col("porcelain")).alias("emails"))
+    rows = stream.select("path", time.alias("modified"), F.array_join(F.transform(porcelain.emails(F.col("porcelain")), lambda e: F.concat(e, F.lit("\n"))), "").alias("emails"))
     kinds = "path string, email string, lines long, files long", "modified double, counts string"
     return rows.groupBy("path").applyInPandasWithState(step, *kinds, "update", GroupStateTimeout.NoTimeout)
 

@@ -83,3 +83,17 @@ def test_state_of_null_paths_and_texts(spark, tmp_path):
     got = []
     ownership.totals(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "store"), str(tmp_path / "ck"), lambda df: got.append(df.collect())).awaitTermination()
     assert sorted((str(x.path), x.email, x.lines) for x in got[0]) == [("None", "a@x", 1), ("h", "", 1)]
+
+
+def test_blanks_within_an_output_cost_no_more_than_its_length(spark):
+    """A search for blanks at the end that starts at every blank takes the square of 300,000 steps."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    text = record("ann", "a" + " " * 300_000 + "b") + record("bob", "x") + " \n　\n"
+    rows = spark.createDataFrame([(text,)], "t string").repartition(1)
+    rows.select(porcelain.emails(F.lit(record("cy", "x")))).collect()
+    began = time.perf_counter()
+    assert rows.select(porcelain.emails(F.col("t")).alias("e")).first().e == ["ann@x", "bob@x"]
+    assert time.perf_counter() - began < 5
