@@ -41,30 +41,26 @@ class RankArray:
         """Ids of one pre-token in byte letters."""
         if not word:
             return []
-        n, w = len(word), word + self.suffix
-        bounds = [*range(n), len(w)]
-        if n > SHORT:
-            parts = self.heap([w[a:b] for a, b in zip(bounds, bounds[1:])])
+        parts = list(word)
+        parts[-1] += self.suffix
+        if len(parts) > SHORT:
+            parts = self.heap(parts)
         else:
-            self.merge(w, bounds)
-            parts = [w[a:b] for a, b in zip(bounds, bounds[1:])]
+            self.merge(parts)
         return [i for p in parts if (i := self.ids.get(p)) is not None]
 
-    def merge(self, w: str, bounds: list[int]) -> None:
-        """bounds: where the parts of w start, then its end; ranks[i] is that of parts i and i+1."""
-
-        def rank(i: int) -> int:
-            return get((w[bounds[i] : bounds[i + 1]], w[bounds[i + 1] : bounds[i + 2]]), NONE)
-
+    def merge(self, parts: list[str]) -> None:
+        """Joins parts in place; ranks[i] is that of parts i and i+1."""
         get = self.ranks.get
-        ranks = [rank(i) for i in range(len(bounds) - 2)]
+        ranks = [get(pair, NONE) for pair in zip(parts, parts[1:])]
         while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            del bounds[i + 1], ranks[i]
+            parts[i] = one = parts[i] + parts.pop(i + 1)
+            del ranks[i]
             if i < len(ranks):
-                ranks[i] = rank(i)
+                ranks[i] = get((one, parts[i + 1]), NONE)
             if i:
-                ranks[i - 1] = rank(i - 1)
+                ranks[i - 1] = get((parts[i - 1], one), NONE)
 
     def heap(self, parts: list[str]) -> list[str]:
         """The same merges for a long word: lowest rank first, leftmost among equals."""
