@@ -1,6 +1,9 @@
 import hashlib
+import random
 
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -43,6 +46,42 @@ def test_any_text(t):
     assert np.frombuffer(bpe.encoder(PATH).ids(t), "<i4").tolist() == want(t)
 
 
+def test_new_words_are_merged_together(monkeypatch):
+    """Ten times the new words take no more calls, of the merge of one word or of the ranks looked up at once."""
+    calls = []
+    one, many = bpe.RankArray.encode, bpe.RankArray.places
+    monkeypatch.setattr(bpe.RankArray, "encode", lambda *a: calls.append(1) or one(*a))
+    monkeypatch.setattr(bpe.RankArray, "places", lambda *a: calls.append(1) or many(*a))
+    encoder, pick = bpe.encoder.__wrapped__(PATH), random.Random(5)
+
+    def taken(n):
+        calls.clear()
+        texts = [" ".join("".join(pick.choices("abcdefghijklmnoprstuéß", k=pick.choice((6, 7, 8)))) for _ in range(100)) for _ in range(n)]
+        assert encoder.of_texts(pa.array(texts)).to_pylist() == [want(t) for t in texts]
+        return len(calls)
+
+    few, more = taken(10), taken(100)
+    assert more <= 2 * few < 200
+
+
+@pytest.mark.parametrize("size, few, side", [(1 << 22, 32, 1 << 17), (16, 1, 64), (300, 4, 1)])
+def test_texts_together(monkeypatch, size, few, side):
+    for name, value in (("SLICE", size), ("FEW", few), ("SIDE", side)):
+        monkeypatch.setattr(bpe, name, value)
+    short = ["don't 't's ''s a's!s we'LL'd 1's '", "they've'rest 'really 'vex l'l", *("a" * n + " B" * n + "xyz"[: n % 4] * n for n in (198, 199, 200, 201, 256))]
+    texts = [*ODD, *short, "", *(f"A{chr(c)}b{chr(c)}'S" for c in range(0x260)), *ODD[::-1], " x", None]
+    for some in (texts, [], [None], ["", " "], ["<|endoftext|>"]):
+        for kind in (pa.string(), pa.large_string()):
+            got = bpe.encoder(PATH).of_texts(pa.array(["before", *some], kind)[1:])
+            assert got.type == pa.list_(pa.int32()) and got.to_pylist() == [want(t) for t in some]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("aAbEeéßst'lr1²!<|> \n\x1c", max_size=30), max_size=8))
+def test_any_texts(texts):
+    assert bpe.encoder(PATH).of_texts(pa.array(texts, pa.string())).to_pylist() == [want(t) for t in texts]
+
+
 def test_query(spark):
     from heddle.llm import queries
 
