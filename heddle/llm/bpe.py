@@ -157,18 +157,25 @@ class RankArray:
 
 
 class TextEncoder(WordMemory):
-    """Texts as ids, the words of many texts together. The memory has only words beyond cut_words and of texts with marks."""
+    """Texts as ids, the words of many texts together. encode: ids of one pre-token in byte letters; encode_all: of many, given as
+    their bytes, or else those new to the memory go to encode. Of words the memory has only those beyond cut_words and of texts with marks."""
 
-    def __init__(self, path: str):
-        self.array = RankArray(path)
-        super().__init__(Tokenizer.from_file(path), self.array.encode)
+    def __init__(self, tokenizer: Tokenizer, encode, encode_all=None):
+        super().__init__(tokenizer, encode)
+        self.encode_all = encode_all or self.spelled_all
         #: What has a text split by ids(): special tokens, and separators that are no white space in the tokenizer file.
         self.marks = [*self.special, "\x1c", "\x1d", "\x1e", "\x1f"]
 
+    def spelled_all(self, pieces: pa.Array) -> pa.LargeBinaryArray:
+        letters = self.letters
+        keys = pieces.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        keys = [k if k.isascii() else "".join([letters[b] for b in k.encode()]) for k in keys]
+        return pa.array([self.spelled(k) if ids is None else ids for k, ids in zip(keys, map(self.pieces.get, keys))], pa.large_binary())
+
     def of_words(self, words: pa.Array) -> pa.Array:
         flat, ends, first, odd = cut_words(words)
         pieces = binaries(ends, flat).dictionary_encode()
-        ends, data = laid(self.array.encode_all(pieces.dictionary).take(pieces.indices))
+        ends, data = laid(self.encode_all(pieces.dictionary).take(pieces.indices))
         out = binaries(ends[first], data)
         return replaced(out, odd, [self[w] for w in words.filter(pa.array(odd)).to_pylist()]) if odd.any() else out
 
@@ -196,7 +203,8 @@ class TextEncoder(WordMemory):
 @lru_cache(maxsize=2)
 def encoder(path: str) -> TextEncoder:
     """One a Python worker; its memory of words is bounded."""
-    return TextEncoder(path)
+    array = RankArray(path)
+    return TextEncoder(Tokenizer.from_file(path), array.encode, array.encode_all)
 
 
 @lru_cache(maxsize=2)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
+from .words import binaries
 
 LANES, BLOCK, CHECK, BITS, PIECE = 2048, 1 << 19, 64, 20, 8
 #: States are at least LOW and below LOW << 32, so that they are exact as doubles, and so are floors of quotients.
@@ -103,16 +104,25 @@ def id_type(tokenizer: str, end_id: int) -> str:
     return "<u2" if most < 1 << 16 else "<u4"
 
 
+def ended(texts: pa.Array, tokenizer: str, end_id: int, kind: str) -> pa.BinaryArray:
+    """The ids of each text, end_id last, as bytes of numbers of that kind."""
+    from .tokens import memory
+
+    lists = memory(tokenizer).of_texts(texts)
+    ends = lists.offsets.to_numpy().astype(np.int64) + np.arange(len(texts) + 1)
+    ids = np.full(ends[-1], end_id, kind)
+    inside = np.ones(len(ids), bool)
+    inside[ends[1:] - 1] = False
+    ids[inside] = lists.values.to_numpy()
+    return binaries(ends * ids.itemsize, ids.view(np.uint8)).cast(pa.binary())
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, ids: numbers of that kind with end_id last)."""
-    last = end_id.to_bytes(4, "little")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .tokens import memory
-
-        m = memory(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.frombuffer(m.ids(t.as_py()) + last, "<u4").astype(kind).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), ended(b.column(1), tokenizer, end_id, kind)], ["doc_id", "ids"])
 
     return docs.mapInArrow(of, "doc_id long, ids binary")
 

@@ -1,4 +1,4 @@
-"""The tokenizers library behind a bounded memory of words, one a Python worker."""
+"""The tokenizers library behind a bounded memory of pre-tokens, one a Python worker."""
 
 from __future__ import annotations
 
@@ -6,11 +6,12 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-from .words import WordMemory
+from .bpe import TextEncoder
 
 
 @lru_cache(maxsize=2)
-def memory(path: str) -> WordMemory:
+def memory(path: str) -> TextEncoder:
+    """Words are cut and looked up many texts at a time; the library gives the ids of each pre-token new to the memory."""
     library = Tokenizer.from_file(path)
     model = library.model
-    return WordMemory(library, lambda word: [t.id for t in model.tokenize(word)])
+    return TextEncoder(library, lambda word: [t.id for t in model.tokenize(word)])

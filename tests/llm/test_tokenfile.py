@@ -94,3 +94,27 @@ def test_large_blocks_are_read_in_pieces(spark, tmp_path):
     assert all(x.ids_crc32 == zlib.crc32(np.array(x.ids, "<u4").tobytes()) and x.n_tokens == len(x.ids) for x in got)
     last = max(got, key=lambda x: x.start)
     assert last.start + last.n_tokens == sum(len(i) for _, i in want)
+
+
+def test_words_are_looked_up_together(monkeypatch):
+    """Plain words take no step of the memory each; the library gets each new pre-token once, for all slices of texts."""
+    import pyarrow as pa
+
+    from heddle.llm import bpe, tokens, words
+
+    monkeypatch.setattr(bpe, "SLICE", 2000)
+    single = []
+    one = words.WordMemory.__missing__
+    monkeypatch.setattr(words.WordMemory, "__missing__", lambda m, w: single.append(w) or one(m, w))
+    pick = random.Random(3)
+    texts = [" ".join("".join(pick.choices("abcdéß'9.", k=4)) for _ in range(100)) for _ in range(50)]
+    tokens.memory.cache_clear()
+    memory, given = tokens.memory(PATH), []
+    inner = memory.encode
+    monkeypatch.setattr(memory, "encode", lambda w: given.append(w) or inner(w))
+    odd = [None, "", "日本 <|endoftext|>a", "x\x1cy", "٣ ſ"]
+    for kind in ("<u2", "<u4"):
+        got = tokenfile.ended(pa.array(["before", *texts, *odd])[1:], PATH, 2, kind)
+        assert [np.frombuffer(x, kind).tolist() for x in got.to_pylist()] == [[*LIB.encode(t or "", add_special_tokens=False).ids, 2] for t in [*texts, *odd]]
+    assert len(given) == len(set(given)) and not set(single) & set(" ".join(texts).split())
+    assert tokenfile.ended(pa.array([], pa.string()), PATH, 2, "<u2").to_pylist() == []
